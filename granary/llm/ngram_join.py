@@ -10,8 +10,8 @@ frequent class, of which there can be only a bounded number.
   to each other in both sets within the first K * (d - r + 1) of the frequent ones. So the prefix is extended that far
   and the combinations of K neighbours are indexed.
 
-Classes that share a key are paired with the key's smallest class. What these links leave apart is compared pairwise,
-in blocks, unless size or parity bitmaps (a bound of the overlap that is never too low) rule it out. Every pair is
+Classes that share a key are paired with a few pivots of it, the one with the smallest doc_id first. What these links
+leave apart is compared pairwise, in blocks, unless size or parity bitmaps (a bound of the overlap that is never too low) rule it out. Every pair is
 verified on the whole sets. Links are joined into components; copies are never expanded into pairs.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; a text with fewer words than
@@ -48,6 +48,7 @@ class Join:
     combine: int = 2
     heavy_share: int = 1000  # a shingle is frequent if at least one document in so many has it
     block: int = 1024
+    pivots: int = 3
 
     def prefix(self, n: int) -> int:
         return n - -(-self.percent * n // 100) + 1
@@ -291,12 +292,17 @@ def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(index(docs, heavy_shingles(docs, how), how))
     classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
-    postings = classes.select("node", F.explode("keys").alias("key"))
-    met = postings.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("key", "first")
+    postings = classes.select("node", "doc", F.explode("keys").alias("key"))
+    # The oldest document of a key is likely what others were made from; some more, by parts, bridge what it doesn't reach.
+    part = F.when(F.lit(how.pivots > 1), F.pmod("node", F.lit(max(1, how.pivots - 1))) + 1)
+    pivots = [F.min(F.when(F.lit(i == 0) | (part == i), F.struct("doc", "node"))).alias(f"p{i}") for i in range(how.pivots)]
+    met = postings.groupBy("key").agg(*pivots, F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", F.array_distinct(F.array_compact(F.array(*(F.col(f"p{i}.node") for i in range(how.pivots))))).alias("pivots"))
     shared = cut(postings.join(met, "key"))
-    stars = shared.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    stars = shared.select(F.col("node").alias("a"), F.explode("pivots").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = cut(verified(cut(bounded(stars, classes, how)), classes, docs, how))
-    more = cut(apart(shared, classes, cut(components(links)), how))
+    # Pairs with a pivot have been tried; others are left where a key has two more classes.
+    rest = shared.filter(~F.array_contains("pivots", F.col("node")))
+    more = cut(apart(rest, classes, cut(components(links)), how))
     links = links.union(verified(more, classes, docs, how))
     roots = cut(components(links))
     least = classes.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
