@@ -46,7 +46,7 @@ class Join:
     size: int = 3
     percent: int = 90
     combine: int = 2
-    heavy_share: int = 1000  # a shingle is frequent if at least one document in so many has it
+    heavy_share: int = 10_000  # a shingle is frequent if at least one document in so many has it
     block: int = 1024
     pivots: int = 3
 
