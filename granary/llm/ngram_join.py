@@ -1,8 +1,8 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 A document's set is that of its distinct word shingles. Documents with equal sets form a class; classes are joined.
-All sets are put into one global order, rare shingles first. Shingles heavier than a share of the documents are the
-frequent class, of which there can be only a bounded number.
+All sets are put into one global order, rare shingles first, and of these the ones with fewer common words. Shingles
+heavier than a share of the documents are the frequent class, of which there can be only a bounded number.
 
 - Rare shingles are indexed singly, those in the prefix of n - ceil(t * n) + 1 shingles.
 - Two similar sets that share no rare shingle there have all their rare shingles in their prefixes and none in common.
@@ -46,7 +46,8 @@ class Join:
     size: int = 3
     percent: int = 90
     combine: int = 2
-    heavy_share: int = 10_000  # a shingle is frequent if at least one document in so many has it
+    heavy_share: int = 10_000  # a shingle is frequent if it occurs once in so many documents or more
+    common_share: int = 1000  # so is a word common
     block: int = 1024
     pivots: int = 3
 
@@ -57,13 +58,18 @@ class Join:
         return n * (100 - self.percent) // self.percent
 
 
-def shingles(texts: tk.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles by document, and each document's first."""
+def shingles(texts: tk.Texts, size: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles by document, each document's first, and how many of a shingle's words are common."""
     w = tk.runs(tk.Texts(LOWER[texts.data], texts.offsets))
     h = tk.window_hash(w.hash, size)
     keep = tk.within(w.doc, size)
     counts = np.bincount(w.doc[: len(h)][keep], minlength=texts.n)
-    out, words = h[keep], np.diff(w.first)
+    ranks = np.zeros(len(h), np.int8)
+    if common is not None and len(common):
+        is_common = (common[np.minimum(np.searchsorted(common, w.hash), len(common) - 1)] == w.hash).astype(np.int8)
+        for j in range(size):
+            ranks += is_common[j : j + len(h)]
+    out, ranks, words = h[keep], ranks[keep], np.diff(w.first)
     short = np.flatnonzero((words > 0) & (words < size))
     if len(short):
         at = np.concatenate([[0], np.cumsum(counts)])[short]
@@ -73,43 +79,59 @@ def shingles(texts: tk.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
             for v in w.hash[w.first[i] : w.first[i + 1]]:
                 x = tk.mix(x * U64(tk.BASE) + v)
             own.append(x[0])
-        out = np.insert(out, at, np.array(own, U64))
+        out, ranks = np.insert(out, at, np.array(own, U64)), np.insert(ranks, at, 0)
         counts[short] = 1
-    return out, np.concatenate([[0], np.cumsum(counts)])
+    return out, np.concatenate([[0], np.cumsum(counts)]), ranks
 
 
-def heavy_shingles(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted, and about how often they occur. Their number is at most heavy_share times the mean text's shingles.
+@dataclass(frozen=True)
+class Heavy:
+    """Sorted: the frequent shingles, about how often each occurs, and the common words."""
+
+    tokens: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+
+
+def heavy_hitters(docs: DataFrame, how: Join) -> Heavy:
+    """Frequent shingles and common words. There are at most heavy_share (common_share) times as many as a mean text has.
 
     Each task forwards what it sees twice or more, which can only understate a count; the order of shingles decides
     about work, never about results.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-
-        def flush() -> pa.RecordBatch:
-            x = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-            n = np.diff(np.r_[first, len(x)])
-            return pa.RecordBatch.from_arrays([pa.array(x[first][n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
+        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        total = docs_seen = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                x = np.sort(np.concatenate(parts))
+                first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+                n = np.diff(np.r_[first, len(x)])
+                many = n >= max(2, docs_seen // (4 * (how.common_share if kind else how.heavy_share)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(many.sum(), kind, np.int32)), pa.array(x[first][many].view(np.int64)), pa.array(n[many])], ["kind", "token", "n"])
+                parts.clear()
 
         for batch in batches:
             for part in tk.pieces(batch, "text"):
-                h, _ = shingles(tk.texts_of(part.column(0)), how.size)
-                held.append(h)
-                total += len(h)
+                texts = tk.texts_of(part.column(0))
+                h, _, _ = shingles(texts, how.size)
+                held[0].append(h)
+                held[1].append(tk.runs(tk.Texts(LOWER[texts.data], texts.offsets)).hash)
+                total, docs_seen = total + len(h), docs_seen + texts.n
                 if total >= FLUSH:
-                    yield flush()
-                    held, total = [], 0
-        if held:
-            yield flush()
+                    yield from flush()
+                    total = docs_seen = 0
+        if held[0]:
+            yield from flush()
 
-    least = max(4, docs.count() // how.heavy_share)
-    found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    tokens = found["token"].to_numpy(np.int64).view(U64)
-    order = np.argsort(tokens)
-    return tokens[order], found["n"].to_numpy(np.int64)[order]
+    n_docs = docs.count()
+    least = F.when(F.col("kind") == 0, max(4, n_docs // how.heavy_share)).otherwise(max(4, n_docs // how.common_share))
+    found = docs.select("text").mapInArrow(count, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+    tokens, n, kind = found["token"].to_numpy(np.int64).view(U64), found["n"].to_numpy(np.int64), found["kind"].to_numpy()
+    order = np.argsort(tokens[kind == 0])
+    return Heavy(tokens[kind == 0][order], n[kind == 0][order], np.sort(tokens[kind == 1]))
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -125,13 +147,14 @@ def signature(tokens: np.ndarray) -> int:
     return int(tk.mix(total).view(np.int64)[0])
 
 
-def keys_of(tokens: np.ndarray, weight: np.ndarray, how: Join) -> np.ndarray:
-    """What a set is indexed by; tokens are sorted, weight is 0 for the rare ones."""
+def keys_of(tokens: np.ndarray, weight: np.ndarray, rank: np.ndarray, how: Join) -> np.ndarray:
+    """What a set is indexed by; tokens are sorted, weight is 0 for the rare ones, of which those of low rank come first."""
     n = len(tokens)
     if not n:
         return tokens
     p = how.prefix(n)
     rare, frequent = tokens[weight == 0], np.flatnonzero(weight)
+    rare = rare[np.argsort(rank[weight == 0], kind="stable")]
     if len(rare) >= p:
         return rare[:p]
     d, k = max(how.differences(n) - len(rare), 0), how.combine
@@ -139,17 +162,17 @@ def keys_of(tokens: np.ndarray, weight: np.ndarray, how: Join) -> np.ndarray:
     return np.concatenate([rare, tk.window_hash(first, k) ^ U64(1)])
 
 
-def index(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], how: Join) -> DataFrame:
+def index(docs: DataFrame, heavy: Heavy, how: Join) -> DataFrame:
     """doc_id, n, node (the set's signature), keys, bits of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = heavy
+        tokens, counts = heavy.tokens, heavy.counts
         for batch in batches:
             for part in tk.pieces(batch, "text"):
-                h, first = shingles(tk.texts_of(part.column(1)), how.size)
+                h, first, ranks = shingles(tk.texts_of(part.column(1)), how.size, heavy.words)
                 n, node, keys, bits = [], [], [], []
                 for a, b in zip(first[:-1], first[1:]):
-                    x = np.unique(h[a:b])
+                    x, where = np.unique(h[a:b], return_index=True)
                     if len(tokens):
                         at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
                         weight = np.where(tokens[at] == x, counts[at], 0)
@@ -157,7 +180,7 @@ def index(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], how: Join) -> D
                         weight = np.zeros(len(x), np.int64)
                     n.append(len(x))
                     node.append(signature(x))
-                    keys.append(keys_of(x, weight, how).view(np.int64))
+                    keys.append(keys_of(x, weight, ranks[a:b][where], how).view(np.int64))
                     bits.append(bitmap(x))
                 offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
@@ -222,7 +245,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.pieces(batch, "text"):
-                h, first = shingles(tk.texts_of(part.column(part.schema.get_field_index("text"))), how.size)
+                h, first, _ = shingles(tk.texts_of(part.column(part.schema.get_field_index("text"))), how.size)
                 sets = [np.unique(h[a:b]) for a, b in zip(first[:-1], first[1:])]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
@@ -290,7 +313,7 @@ def apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, how: Join) ->
 def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links, itself included) of every row of docs."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(index(docs, heavy_shingles(docs, how), how))
+    rows = cut(index(docs, heavy_hitters(docs, how), how))
     classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     postings = classes.select("node", "doc", F.explode("keys").alias("key"))
     # The oldest document of a key is likely what others were made from; some more, by parts, bridge what it doesn't reach.
