@@ -31,28 +31,47 @@ def previous_smaller(values: np.ndarray) -> np.ndarray:
 
 
 def suffix_keys(code: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """The first `size` bytes of each suffix as big-endian 64-bit columns."""
-    n = -(-size // 8)
-    padded = np.concatenate([code, np.zeros(8 * n, np.uint8)])
-    keys = np.zeros((n, len(starts)), np.uint64)
-    for j in range(size):
-        keys[j // 8] |= padded[starts + j].astype(np.uint64) << np.uint64(56 - 8 * (j % 8))
-    return keys
-
-
-def common_prefix(keys: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """Bytes that suffixes a and b share at the front, `size` at most."""
-    out = np.zeros(len(a), np.int64)
-    going = np.ones(len(a), bool)
-    for row in keys:
-        x = row[a] ^ row[b]
-        some = x != 0
-        top = np.zeros(len(a), np.int64)
-        for k in range(8):  # leading zero bytes
-            top += (x >> np.uint64(56 - 8 * k) == 0) & (top == k)
-        out += np.where(going, top, 0)
-        going &= ~some
-    return np.minimum(out, size)
+    """The first `size` bytes of each suffix, as columns of 64-bit numbers in the order of the bytes."""
+    letters = np.unique(code)
+    bits = max(1, int(len(letters)).bit_length())
+    per = min(64 // bits, size)
+    number = np.zeros(256, np.uint64)
+    number[letters] = np.arange(1, len(letters) + 1)
+    # packed[i] has letters i to i + have - 1, doubled as often as they fit
+    packed, have = number[np.concatenate([code, np.zeros(size + per, code.dtype)])], 1
+    single = packed
+
+    def wider(x: np.ndarray, n: int, y: np.ndarray, m: int) -> np.ndarray:
+        y = np.concatenate([y[n:], np.zeros(n, np.uint64)])
+        return x << np.uint64(bits * m) | y
+
+    while have * 2 <= per:
+        packed, have = wider(packed, have, packed, have), have * 2
+    while have < per:
+        packed, have = wider(packed, have, single, 1), have + 1
+    columns, at = [], 0
+    while at < size:
+        n = min(per, size - at)
+        columns.append(packed[starts + at] >> np.uint64(bits * (per - n)))
+        at += n
+    return np.array(columns)
+
+
+def suffix_order(keys: np.ndarray) -> np.ndarray:
+    """The suffixes' order by all columns; of each next column only what is still tied is sorted."""
+    order = np.argsort(keys[0])
+    low = keys[0][order]
+    same = np.r_[False, low[1:] == low[:-1]] if len(order) else np.zeros(0, bool)
+    for column in keys[1:]:
+        tied = np.flatnonzero(same | np.r_[same[1:], False])
+        if not len(tied):
+            break
+        group = np.cumsum(~same)[tied]
+        inner = np.lexsort((column[order[tied]], group))
+        order[tied] = order[tied][inner]
+        value = column[order[tied]]
+        same[tied] &= np.r_[False, value[1:] == value[:-1]]
+    return order
 
 
 def search(code: np.ndarray, first: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
@@ -60,7 +79,7 @@ def search(code: np.ndarray, first: np.ndarray, docs: np.ndarray, size: int) ->
     starts = ragged(first[:-1], counts)
     doc = np.repeat(docs, counts)
     keys = suffix_keys(code, starts, size)
-    order = np.lexsort(keys[::-1])
+    order = suffix_order(keys)
     keys, d = keys[:, order], doc[order]
     n = len(d)
     before = previous_smaller(d)
@@ -69,8 +88,8 @@ def search(code: np.ndarray, first: np.ndarray, docs: np.ndarray, size: int) ->
     least = d.copy()
     for near, there in ((before, before >= 0), (after, after < n)):
         i, k = place[there], near[there]
-        factor = common_prefix(keys, i, k, size)
-        whole = factor >= size
+        # the factor shared with the nearest suffix of a smaller document is a whole window
+        whole = (keys[:, i] == keys[:, k]).all(0)
         least[i[whole]] = np.minimum(least[i[whole]], d[k[whole]])
     out = np.empty(n, np.int64)
     out[order] = least

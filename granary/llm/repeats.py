@@ -141,9 +141,31 @@ def _isin(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def _single(items: Items, s: Segments, hot: np.ndarray, size: int) -> Segments:
+def _label(anchor: np.ndarray, n_buckets: int) -> np.ndarray:
+    """An anchor's bucket and 40 bits of it. As a bucket's size is bounded, few anchors share a label; if so, more is searched."""
+    return _deal(anchor, 1, n_buckets).astype(U64) << U64(40) | anchor & U64((1 << 40) - 1)
+
+
+def _short(x: np.ndarray) -> bytes:
+    """The low 40 bits of each value."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.reshape(-1).view("<u8").astype(U64)
+
+
+def _labels(table: pa.Table, column: str) -> np.ndarray:
+    """Sorted labels of all rows' anchors."""
+    found = [_long(x) | U64(b) << U64(40) for b, x in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist())]
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, U64)
+
+
+def _single(items: Items, s: Segments, hot: np.ndarray, size: int, n_buckets: int) -> Segments:
     """s with the segments of hot anchors cut into single windows, which are their own anchors."""
-    is_hot = _isin(hot, s.anchor)
+    is_hot = _isin(hot, _label(s.anchor, n_buckets)) if len(hot) else np.zeros(len(s.anchor), bool)
     if not is_hot.any():
         return s
     h, rest = s.take(is_hot), s.take(~is_hot)
@@ -181,11 +203,11 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         info = (np.floor(np.log2(n)).astype(np.uint8) | many.astype(np.uint8) << 7).astype(np.uint8)
         order, begin = groups(bucket := _deal(a, 1, n_buckets))
         cuts = begin[1:]
-        return pa.table([pa.array(bucket[order][begin].astype(np.int32)), pa.array([batch] * len(begin), pa.int32()), _blobs(np.split(a[order], cuts)), _blobs(np.split(info[order], cuts))], names=["bucket", "batch", "anchors", "info"])
+        return pa.table([pa.array(bucket[order][begin].astype(np.int32)), pa.array([batch] * len(begin), pa.int32()), pa.array([_short(x) for x in np.split(a[order], cuts)], pa.binary()), _blobs(np.split(info[order], cuts))], names=["bucket", "batch", "anchors", "info"])
 
     def shared(table: pa.Table) -> pa.Table:
-        a, sizes = _joined(table.column("anchors"), U64)
-        info, _ = _joined(table.column("info"), np.uint8)
+        a = np.concatenate([_long(x) for x in table.column("anchors").to_pylist()])
+        info, sizes = _joined(table.column("info"), np.uint8)
         order, begin = groups(a)
         group = np.zeros(len(a), np.int64)
         group[order] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(a)]))
@@ -194,17 +216,18 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         hot = np.bincount(group, np.exp2(info & 127)) > HOT
         cuts = np.cumsum(sizes)[:-1]
         rows = [(x[keep[g]], x[keep[g] & hot[g]]) for x, g in zip(np.split(a, cuts), np.split(group, cuts))]
-        return pa.table([table.column("batch"), _blobs([x for x, _ in rows]), _blobs([y for _, y in rows])], names=["batch", "anchors", "hot"])
+        kept = (pa.array([_short(r[i]) for r in rows], pa.binary()) for i in (0, 1))
+        return pa.table([table.column("bucket"), table.column("batch"), *kept], names=["bucket", "batch", "anchors", "hot"])
 
     def segments(table: pa.Table, named: pa.Table) -> pa.Table:
         names = ["shard", "batch", "segments", "docs", "counts", "code", "letters", "hot"]
         if not table.num_rows or not named.num_rows:
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), *[_blobs([])] * 6], names=names)
         batch = table.column("batch")[0].as_py()
-        wanted, hot = (np.sort(_joined(named.column(c), U64)[0]) for c in ("anchors", "hot"))
+        wanted, hot = _labels(named, "anchors"), _labels(named, "hot")
         found: list[tuple] = []
         for _, _, items, s, ids in _parts(table, kind):
-            s = _single(items, s.take(_isin(wanted, s.anchor)), hot, size)
+            s = _single(items, s.take(_isin(wanted, _label(s.anchor, n_buckets))), hot, size, n_buckets)
             found.append((content_hash(items, s, size), ids[s.doc], s.count, s.anchor, items.code[tk.ragged(s.first, s.count + size - 1)]))
         h, d, n, a, code = (np.concatenate(x) for x in zip(*found))
         at = np.concatenate([[0], np.cumsum(n + size - 1)])
@@ -215,15 +238,17 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         order, begin = groups(shard)
         rows = []
         for x in np.split(order, begin[1:]) if len(begin) else []:
-            letters, codes = code[tk.ragged(start[x], n[x] + size - 1)], np.zeros(0, np.uint8)
+            codes, letters = code[tk.ragged(start[x], n[x] + size - 1)], np.zeros(0, U64)
             if kind.unit == "word":
-                letters, codes = np.unique(letters, return_inverse=True)
+                letters, codes = np.unique(codes, return_inverse=True)
                 codes = codes.astype(np.uint16 if len(letters) < 1 << 16 else np.uint32)
             rows.append((shard[x[0]], h[x], least[x], n[x].astype(np.uint16), codes, letters, np.zeros(0, U64)))
         if len(hot):
-            rows.append((batch % n_shards, h[:0], least[:0], n[:0].astype(np.uint16), np.zeros(0, np.uint16), code[:0], hot))
+            rows.append((batch % n_shards, h[:0], least[:0], n[:0].astype(np.uint16), np.zeros(0, np.uint8), np.zeros(0, U64), hot))
         cols = list(zip(*rows)) if rows else [[]] * 7
-        return pa.table([pa.array(list(cols[0]), pa.int32()), pa.array([batch] * len(rows), pa.int32()), *(_blobs(list(c)) for c in cols[1:])], names=names)
+        packed = [_blobs(list(c)) for c in cols[1:]]
+        packed[3] = pa.array([pa.compress(c.tobytes(), "zstd", asbytes=True) if len(c) else b"" for c in cols[4]], pa.binary())
+        return pa.table([pa.array(list(cols[0]), pa.int32()), pa.array([batch] * len(rows), pa.int32()), *packed], names=names)
 
     def searched(table: pa.Table) -> pa.Table:
         h, sizes = _joined(table.column("segments"), U64)
@@ -231,11 +256,10 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         n = _joined(table.column("counts"), np.uint16)[0].astype(np.int64)
         codes, letters = [], []
         for row_n, c, x in zip(np.split(n, np.cumsum(sizes)[:-1]), table.column("code").to_pylist(), table.column("letters").to_pylist()):
-            if kind.unit == "byte":
-                codes.append(np.frombuffer(x, np.uint8))
-            else:
-                x = np.frombuffer(x, U64)
-                codes.append(x[np.frombuffer(c, np.uint16 if len(x) < 1 << 16 else np.uint32)])
+            letter = np.frombuffer(x, U64)
+            width = np.dtype(np.uint8 if kind.unit == "byte" else np.uint16 if len(letter) < 1 << 16 else np.uint32)
+            own = np.frombuffer(pa.decompress(c, int((row_n + size - 1).sum()) * width.itemsize, "zstd", asbytes=True) if c else b"", width)
+            codes.append(own if kind.unit == "byte" else letter[own])
         code = np.concatenate(codes)
         at = np.concatenate([[0], np.cumsum(n + size - 1)])
         order, begin = groups(h)
@@ -273,7 +297,7 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         order = np.argsort(h)
         known = h[order]
         for part, texts, items, s, ids in _parts(table, kind):
-            s = _single(items, s, hot, size)
+            s = _single(items, s, hot, size, n_buckets)
             mine = content_hash(items, s, size)
             s, mine = s.take(got := _isin(known, mine)), mine[got]
             row = order[np.searchsorted(known, mine)] if len(mine) else np.zeros(0, np.int64)
@@ -289,7 +313,7 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
     schema = "doc_id long, n_items long, n_removed long, n_spans long, kept binary"
     by_batch = dealt.groupBy("batch")
     sent = by_batch.applyInArrow(anchors, "bucket int, batch int, anchors binary, info binary")
-    named = sent.groupBy("bucket").applyInArrow(shared, "batch int, anchors binary, hot binary").filter(F.octet_length("anchors") > 0)
+    named = sent.groupBy("bucket").applyInArrow(shared, "bucket int, batch int, anchors binary, hot binary").filter(F.octet_length("anchors") > 0)
     refs = by_batch.cogroup(named.groupBy("batch")).applyInArrow(segments, "shard int, batch int, segments binary, docs binary, counts binary, code binary, letters binary, hot binary")
     answers = refs.groupBy("shard").applyInArrow(searched, "batch int, segments binary, runs binary, lengths binary, values binary, hot binary")
     return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(marked, schema)
