@@ -37,7 +37,7 @@ U64 = np.uint64
 LAST = np.iinfo(np.int64).max
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-FLUSH = 4_000_000  # shingles counted together
+FLUSH = 2_000_000  # shingles counted together
 BROADCAST_ROWS = 100_000
 
 

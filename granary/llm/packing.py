@@ -29,8 +29,50 @@ WINDOW, END_ID, SALTS, CACHE = 4096, 2, 64, 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+# Bytes by kind: 0 white space, 1 letters (and the bytes of U+00C0 to U+00FF), 2 other ASCII.
+KIND = np.full(256, 2, np.int8)
+KIND[tk.BLANK] = 0
+KIND[ord("a") : ord("z") + 1] = KIND[ord("A") : ord("Z") + 1] = KIND[128:] = 1
+#: Bytes whose words are left whole: contractions, special tokens, and characters outside U+00C0 to U+00FF.
+ODD = np.zeros(256, bool)
+ODD[[ord("'"), ord("|")]] = True
+ODD[0xC0:] = True
+ODD[0xC3] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def parts(texts: tk.Texts) -> tk.Runs:
+    """Parts of words that pre-tokens never span: letters or other ASCII, lower-cased for the hash; odd words whole."""
+    data, offsets = texts.data, texts.offsets
+    words = tk.runs(texts)
+    odd = ODD[data]
+    if len(data) > 1:  # the two signs among U+00C0 to U+00FF
+        odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    seen = np.concatenate([[0], np.cumsum(odd)])
+    is_odd = seen[words.end] > seen[words.start]
+    kind = KIND[data]
+    inside = np.zeros(len(data) + 1, np.int64)
+    inside[words.start[is_odd]] += 1
+    inside[words.end[is_odd]] -= 1
+    kind[np.cumsum(inside)[:-1] > 0] = 1
+    begin = np.zeros(len(data), bool)
+    begin[words.start] = True
+    begin[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    finish = np.zeros(len(data) + 1, bool)
+    finish[words.end] = True
+    finish[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    start, end = np.flatnonzero(begin), np.flatnonzero(finish)
+    hashed = np.where(np.cumsum(inside)[:-1] > 0, data, LOWER[data])
+    first = np.searchsorted(start, offsets)
+    return tk.Runs(np.repeat(np.arange(texts.n), np.diff(first)), start, end, tk.span_hash(tk.prefix_sums(hashed), start, end), first)
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer whose pre-tokens never span ASCII white space: each distinct word is encoded once."""
+    """Ids of texts by a tokenizer whose pre-tokens never span ASCII white space; each distinct part of a word is encoded once.
+
+    What is remembered is bounded; beyond that it begins anew.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,45 +81,53 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts: list[int] = [0]
+        self.hashes, self.starts, self.counts, self.ids = (np.zeros(0, x) for x in (np.uint64, np.int64, np.int64, np.uint32))
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        counts = np.array([len(x) for x in found], np.int64)
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, np.array([t for x in found for t in x], np.uint32)])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.starts, self.counts = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.starts, starts), (self.counts, counts)))
 
     def encode(self, texts: tk.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each document has."""
-        w = tk.runs(texts)
+        w = parts(texts)
         hashes, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > CACHE:
+        if len(self.hashes) + len(hashes) > CACHE:
             self.clear()
-        listed = hashes.tolist()
-        new = [i for i, h in enumerate(listed) if h not in self.known]
-        if new:
+        if len(self.hashes):
+            new = self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] != hashes
+        else:
+            new = np.ones(len(hashes), bool)
+        if new.any():
             raw = texts.data.tobytes()
-            words = [raw[w.start[i] : w.end[i]].decode("utf-8", "replace") for i in first[new]]
-            found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            flat = np.array([t for x in found for t in x], np.uint32)
-            at = self.starts[-1]
-            while at + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[at : at + len(flat)] = flat
-            for i, x in zip(new, found):
-                self.known[listed[i]] = len(self.starts) - 1
-                self.starts.append(self.starts[-1] + len(x))
-        starts = np.array(self.starts)
-        entry = np.array([self.known[h] for h in listed], np.int64)[inverse] if listed else np.zeros(0, np.int64)
-        counts = starts[entry + 1] - starts[entry]
+            self._learn(hashes[new], [raw[w.start[i] : w.end[i]].decode("utf-8", "replace") for i in first[new]])
+        entry = np.searchsorted(self.hashes, hashes)[inverse]
+        counts = self.counts[entry]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[tk.ragged(starts[entry], counts)], np.diff(ends[w.first])
+        return self.ids[tk.ragged(self.starts[entry], counts)], np.diff(ends[w.first])
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This process's encoder; what it knows serves later tasks too."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        words = encoder(tokenizer)
         for batch in batches:
             for part in tk.pieces(batch, "text", 1 << 21):
-                ids, sizes = encoder.encode(tk.texts_of(part.column(1)))
+                ids, sizes = words.encode(tk.texts_of(part.column(1)))
                 rows, at = [], 0
                 end = np.array([end_id], np.uint32)
                 for doc, n in zip(part.column(0).to_pylist(), sizes.tolist()):
