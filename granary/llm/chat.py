@@ -45,22 +45,25 @@ def chosen_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     nodes = cut(messages.filter(F.col("id").isNotNull()).select("id", "parent", "score").dropDuplicates(["id"]))
     known = nodes.select(F.col("id").alias("parent"))
     tied = nodes.join(known.withColumn("there", F.lit(True)), "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("size"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.col("id").alias("top"))
+    # Messages that have reached a root are set aside; only the others are joined again.
     reach, jumps = cut(tied), []
+    done, going = reach.filter(F.col("up").isNull()), reach.filter(F.col("up").isNotNull())
     limit = nodes.count()
-    while reach.filter(F.col("up").isNotNull()).limit(1).count():
-        if 2 ** len(jumps) > 2 * limit:  # only circles are left
-            reach = reach.filter(F.col("up").isNull())
-            break
-        jumps.append(reach.filter(F.col("up").isNotNull()).select(F.col("id").alias("from"), "up"))
-        above = reach.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("size").alias("more"), F.col("total").alias("plus"), F.col("top").alias("root"))
-        joined = reach.join(above, "up", "left")
-        reach = cut(joined.select("id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"), F.coalesce("root", "top").alias("top")))
+    while going.limit(1).count() and 2 ** len(jumps) <= 2 * limit:  # beyond that only circles are left
+        jumps.append(going.select(F.col("id").alias("from"), "up"))
+        above = done.unionByName(going).select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("size").alias("more"), F.col("total").alias("plus"), F.col("top").alias("root"))
+        joined = going.join(above, "up")
+        reach = cut(joined.select("id", F.col("next").alias("up"), (F.col("size") + F.col("more")).alias("size"), (F.col("total") + F.col("plus")).alias("total"), F.col("root").alias("top")))
+        done, going = done.unionByName(reach.filter(F.col("up").isNull())), reach.filter(F.col("up").isNotNull())
+    reach = done
     leaves = reach.join(nodes.select(F.col("parent").alias("id")), "id", "left_anti")
     rank = F.row_number().over(Window.partitionBy("top").orderBy(F.desc(F.col("total") / F.col("size")), F.desc("size"), "id"))
-    paths = leaves.withColumn("rank", rank).filter(F.col("rank") <= keep).select(F.col("id").alias("leaf"), "id", (F.col("size") - 1).alias("place"))
+    chosen = leaves.withColumn("rank", rank).filter(F.col("rank") <= keep).select(F.col("id").alias("leaf"), "id", (F.col("size") - 1).alias("place"))
+    # After each step the paths hold all messages up to twice as far above their leaves.
+    paths = cut(chosen)
     for i, jump in enumerate(jumps):
-        step = paths.join(jump.withColumnRenamed("from", "id"), "id").select("leaf", F.col("up").alias("id"), (F.col("place") - 2**i).alias("place"))
-        paths = paths.union(step)
+        step = paths.filter(F.col("place") >= 2**i).join(jump.withColumnRenamed("from", "id"), "id").select("leaf", F.col("up").alias("id"), (F.col("place") - 2**i).alias("place"))
+        paths = paths.union(cut(step))
     return paths
 
 

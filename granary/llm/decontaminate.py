@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.storage import cut
+from granary.llm.storage import cut, sized
 
 WINDOW = 10
 #: rows of a table that may be broadcast: some 50 bytes each
@@ -105,7 +105,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     judged = read.withColumn("exact", F.coalesce(exact, F.array().cast("array<struct<start:int,win:array<string>>>"))).select("k", "doc_id", F.size("w").cast("long").alias("n_words"), F.sort_array(places).alias("hits"), F.array_distinct(F.col("exact.win")).alias("wins"))
     judged = cut(judged)
     named = judged.select("k", F.explode("wins").alias("win")).distinct().join(windows, "win").groupBy("k").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    out = judged.join(named, "k", "left")
+    out = sized(judged.join(named, "k", "left"), judged.count())
     return out.select(
         "doc_id",
         "n_words",

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import tokens as tk
-from granary.llm.storage import cut
+from granary.llm.storage import cut, sized
 
 WINDOW, END_ID, SALTS, CACHE = 4096, 2, 64, 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -202,11 +202,12 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     table = slots(plan(total, window))
     key = table[:, 0] << 44 | table[:, 1]
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = (
+    ranked = sized(
         salted.withColumn("rn", F.row_number().over(order))
         .join(F.broadcast(before), ["length", "salt"])
         .withColumn("rank", F.col("before") + F.col("rn") - 1)
-        .select(*pieces.columns, "rank")
+        .select(*pieces.columns, "rank"),
+        sum(total.values()),
     )
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

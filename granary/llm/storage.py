@@ -22,3 +22,8 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and stored in the shared folder; it survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """df in so many partitions at most that each has about `each` of its `rows`; so small results are few files."""
+    return df.coalesce(max(1, -(-rows // each)))
