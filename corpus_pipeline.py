@@ -10,32 +10,39 @@ from pyspark.sql import functions as F
 from granary.llm import decontaminate, ngram_join, packing, pii, quality
 from granary.llm.queries import tokenizer_path
 from granary.llm.storage import shared_dir
+from granary.llm.storage import sized as by_rows
 from granary.session import table
 
 ORACLE_SQL = None
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """Texts in files of some thousands of documents."""
+    return by_rows(df, rows, 8000)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality.judge(docs).filter("kept").select(docs.columns)
+    return sized(quality.judge(docs).filter("kept").select(docs.columns), docs.count())
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest doc_id."""
     later = ngram_join.join_components(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    return sized(docs.join(later, "doc_id", "left_anti").select(docs.columns), docs.count())
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
     hit = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    return sized(docs.join(hit, "doc_id", "left_anti").select(docs.columns), docs.count())
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind, and n_chars of what is left."""
     found = pii.annotate(docs, pii.fit(docs)).withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
-    return found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return sized(found.withColumn("n_chars", chars).select(docs.columns), docs.count())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
