@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import tokens as tk
 from granary.llm.components import components
-from granary.llm.storage import cut
+from granary.llm.storage import cut, small_batches
 
 U64 = np.uint64
 LAST = np.iinfo(np.int64).max
@@ -312,7 +312,7 @@ def apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, how: Join) ->
 
 def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links, itself included) of every row of docs."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(index(docs, heavy_hitters(docs, how), how))
     classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     postings = classes.select("node", "doc", F.explode("keys").alias("key"))

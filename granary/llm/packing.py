@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import tokens as tk
-from granary.llm.storage import cut, sized
+from granary.llm.storage import cut, sized, small_batches
 
 WINDOW, END_ID, SALTS, CACHE = 4096, 2, 64, 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -136,7 +136,7 @@ def tokenize(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
                     rows += [(doc, s, min(window, n + 1 - s), zlib.crc32(whole[s : s + window]), n + 1) for s in range(0, n + 1, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

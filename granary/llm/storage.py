@@ -27,3 +27,14 @@ def cut(df: DataFrame) -> DataFrame:
 def sized(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     """df in so many partitions at most that each has about `each` of its `rows`; so small results are few files."""
     return df.coalesce(max(1, -(-rows // each)))
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """df, after the session's Arrow batches are held to so many rows: thousands of long texts are too much for one."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_ROWS)) <= rows:
+        conf.set(BATCH_ROWS, str(rows))
+    return df
