@@ -51,3 +51,12 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays in double precision; null if either is zero or null."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def effective_evidence(text: Column) -> Column:
+    """The sentence, between full stops with a space, that holds the first `eff. Month day, year`; null if there is none."""
+    at, found = F.regexp_instr(text, F.lit(EFFECTIVE)), F.regexp_extract(text, EFFECTIVE, 0)
+    before = F.substring_index(F.substring(text, F.lit(1), at - 1), ". ", -1)
+    rest = F.substring(text, at + F.length(found), F.length(text))
+    after = F.concat(F.substring_index(rest, ". ", 1), F.when(F.contains(rest, F.lit(". ")), ".").otherwise(""))
+    return F.when(at > 0, F.concat(before, found, after))

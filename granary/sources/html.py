@@ -88,3 +88,51 @@ def elements(pages: DataFrame, key: str, html: str = "html", body: tuple[str, ..
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(key, F.col(html)).mapInPandas(run, f"{key} {kind}, element_index int, tag string, text string")
+
+
+def _fits(node: list, simple: str) -> bool:
+    """Whether an element is `#id`, `.class` or a tag."""
+    if simple[0] == "#":
+        return node[1].get("id") == simple[1:]
+    if simple[0] == ".":
+        return simple[1:] in (node[1].get("class") or "").split()
+    return node[0] == simple
+
+
+def _selected(root: list, selector: str) -> list[list]:
+    """Elements that a descendant selector of simple parts picks, each once."""
+    held = [root]
+    for simple in selector.split():
+        held = list({id(n): n for parent in held for n in _walk(parent) if _fits(n, simple)}.values())
+    return held
+
+
+def body_children(html: str | None, selector: str) -> tuple[int, list[tuple[int, str, list[str], str, list[str]]]]:
+    """How many bodies there are, and of a single one the child tags as (index, tag, classes, text, texts of refs)."""
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    bodies = _selected(tree.root, selector)
+    if len(bodies) != 1:
+        return len(bodies), []
+    tags = [n for n in bodies[0][2] if isinstance(n, list)]
+    return 1, [(i, n[0], (n[1].get("class") or "").split(), _text(n), [_text(r) for r in _walk(n) if r[0] == "ref"]) for i, n in enumerate(tags)]
+
+
+def rule_elements(pages: DataFrame, key: str, html: str = "html", selector: str = "#block-body .field--name-body") -> DataFrame:
+    """(key, element_index, tag, classes, text, refs, error): the body's child tags, empty ones counted.
+
+    A page without exactly one body gives one row of nulls with an error and empty text.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, h in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
+                n, found = body_children(h, selector)
+                rows += [(k, *e, None) for e in found] if n == 1 else [(k, None, None, None, "", None, f"expected one body, found {n}")]
+            out = pd.DataFrame(rows, columns=[key, "element_index", "tag", "classes", "text", "refs", "error"])
+            yield out.astype({"element_index": "Int32"})
+
+    kind = pages.schema[key].dataType.simpleString()
+    return pages.select(key, F.col(html)).mapInPandas(run, f"{key} {kind}, element_index int, tag string, classes array<string>, text string, refs array<string>, error string")
