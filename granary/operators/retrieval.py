@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.stem import stemmed
 from granary.functions.text import cosine, query_terms, terms
 
 CANDIDATES, RRF_K = 15, 60
@@ -33,6 +34,20 @@ def postings(chunks: DataFrame, key: str, text: str, only: DataFrame | None = No
     return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def stemmed_postings(index: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf) with stems for terms and without stop words; each distinct term is stemmed once."""
+    stems = stemmed(index.select("term").distinct())
+    return index.join(stems, "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+
+
+def stemmed_search(questions: DataFrame, query: str, question: str, index: DataFrame, key: str, k: int = CANDIDATES) -> DataFrame:
+    """keyword_search over stemmed postings: a question's terms are stemmed alike, each stem counts once."""
+    asked = questions.select(query, F.explode(query_terms(F.col(question))).alias("term"))
+    asked = asked.join(stemmed(asked.select("term").distinct()), "term").select(query, F.col("stem").alias("term")).distinct()
+    hits = index.join(small(asked), "term").groupBy(query, key).agg(F.sum("tf").alias("n"))
+    return top(hits.select(query, key, (F.col("n") * 0.1).alias("score")), query, key, k)
+
+
 def top(scored: DataFrame, query: str, key: str, k: int, best: str = "score") -> DataFrame:
     """The k best rows of each query with their rank, ties by key."""
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc_nulls_last(best), key))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as fn
-from granary.operators import answers, chunking, evaluation, ingest, retrieval, sections
+from granary.operators import answers, chunking, evaluation, ingest, retrieval, rules, sections
 from granary.session import table
 from granary.sources import html, manifest
 
@@ -113,13 +113,14 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"), "doc_id")
-    return ingest.new_documents(docs.filter("doc_id % 2 = 1"), docs.filter("doc_id % 2 = 0"), ["source", "content_hash"]).select("source", "content_hash")
+    known = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return ingest.new_documents(docs, known, ["source", "content_hash"]).select("source", "content_hash")
 
 
 def embedding_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    held = vectors.select("vec_id", F.when(F.col("vec_id") % 3 != 0, F.col("embedding")).alias("embedding"))
-    return ingest.backfill(held, vectors.filter("vec_id % 2 = 0"), "vec_id").select("vec_id", F.col("embedding").isNotNull().alias("filled"))
+    held = vectors.select("vec_id", F.when(F.col("label") >= 3, F.col("embedding")).alias("embedding"))
+    return ingest.backfill(held, vectors.filter("label <> 0"), "vec_id").select("vec_id", F.col("embedding").isNotNull().alias("filled"))
 
 
 def url_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,12 +160,40 @@ def section_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.coverage(held, sections.guidance_sections(held, "page_id"), "page_id")
 
 
+def _rule_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.rule_elements(table(spark, sf_dir, "pages"), "page_id", selector="article").filter("error is null")
+
+
+def rule_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rule_sections(_rule_elements(spark, sf_dir), "page_id", selector="article")
+
+
+def rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _rule_elements(spark, sf_dir)
+    return rules.rule_audit(held, rules.rule_sections(held, "page_id", selector="article"), "page_id")
+
+
+def normalized_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    absent = F.lit(None).cast("string")
+    pages = table(spark, sf_dir, "pages").select("page_id", absent.alias("rule_number"), F.col("url").alias("title"), F.lit("rule").alias("source_type"), F.col("url").alias("source_url"), absent.alias("latest_effective_date"), absent.alias("history"))
+    return rules.content_hash(pages, rule_sections(spark, sf_dir), "page_id")
+
+
+def _stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.stemmed_postings(term_postings(spark, sf_dir), "doc_id")
+
+
+def stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.stemmed_search(table(spark, sf_dir, "benchmark"), "item_id", "text", _stemmed(spark, sf_dir), "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         latest_per_source, chunk_documents, keyword_query_terms, term_postings, keyword_topk, vector_topk, hybrid_rrf, rrf_fuse, scope_gate, grounded_answer,
         citation_validation, eval_rows, eval_summary, snapshot_changes, ingest_dedup, embedding_backfill, url_allowlist, quality_checks, source_summary,
         query_log_rollup, effective_date, html_elements, guidance_sections, section_audit,
+        rule_sections, rule_audit, normalized_hash, stemmed_topk,
     )
 }
 
@@ -212,8 +241,8 @@ select c.conv_id, c.turn, coalesce(contains(p.content, substr(c.text, 1, 20)), f
     "eval_rows": f"with {_EVAL} select item_id, top_k, round(recall, 6) as recall, round(rr, 6) as reciprocal_rank, passed from ev",
     "eval_summary": f"with {_EVAL} select top_k, count(recall) as answerable, round(coalesce(avg(recall), 0), 6) as recall, round(coalesce(avg(rr) filter (where recall is not null), 0), 6) as mrr, round(avg(passed::int), 6) as abstention_accuracy from ev group by top_k",
     "snapshot_changes": "select event_id, case when lag(event_type) over (partition by user_id order by ts, event_id) = event_type then 'unchanged' else 'saved' end as status from events",
-    "ingest_dedup": "with d as (select source, sha256(coalesce(text, '')) as content_hash, doc_id from documents) select distinct source, content_hash from d where doc_id % 2 = 1 and not exists (select 1 from d e where e.doc_id % 2 = 0 and e.source = d.source and e.content_hash = d.content_hash)",
-    "embedding_backfill": "select vec_id, (vec_id % 3 <> 0 or vec_id % 2 = 0) as filled from embeddings",
+    "ingest_dedup": "with d as (select source, sha256(coalesce(text, '')) as content_hash, doc_id from documents) select distinct source, content_hash from d where not exists (select 1 from d e join labels using (doc_id) where e.source = d.source and e.content_hash = d.content_hash)",
+    "embedding_backfill": "select vec_id, coalesce(label <> 0, false) and embedding is not null as filled from embeddings",
     "url_allowlist": r"select page_id, case when regexp_matches(url, '[?#]') then 'url has a query or fragment' when not regexp_matches(url, '^https?://thther\.example\.org(/|$)') then 'host is not allowed' end as error from pages",
     "quality_checks": f"with {_CHUNKS} select 'hash' as rule, count(*) filter (where not regexp_matches(content_hash, '^[a-f0-9]{{64}}$')) as n from chunks union all select 'index', count(*) filter (where chunk_index < 0) from chunks union all select 'tokens', count(*) filter (where token_count <= 0) from chunks union all select 'short', count(*) filter (where token_count >= {TARGET}) from chunks",
     "source_summary": "select source, count(*) as n, count(quality) as labelled, max(doc_id) as latest from documents left join labels using (doc_id) group by source",
