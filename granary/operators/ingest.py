@@ -29,3 +29,9 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, n): rows that break each rule, in one pass."""
     counts = df.agg(*(F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()))
     return counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*rules))).alias("rule", "n"))
+
+
+def distinct_rows(df: DataFrame, key: list[str]) -> DataFrame:
+    """Of each key one row, the same one whatever the order of rows."""
+    rest = [c for c in df.columns if c not in key]
+    return df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else df.distinct()
