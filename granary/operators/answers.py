@@ -25,12 +25,12 @@ def grounded_answers(questions: DataFrame, passages: DataFrame, query: str, top_
     )
 
 
-def check_citations(citations: DataFrame, passages: DataFrame, query: str, on: list[str]) -> DataFrame:
-    """citations with valid: the first passage that agrees in `on`, null with null, holds the excerpt."""
+def check_citations(citations: DataFrame, passages: DataFrame, query: str, on: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """citations with valid: the first passage that agrees in `on`, null with null, holds the excerpt; its `carry` come as passage_*."""
     first = passages.withColumn("_n", F.row_number().over(Window.partitionBy(query, *on).orderBy("rank"))).filter("_n = 1")
-    right = first.select(F.col(query).alias("_q"), *(F.col(c).alias(f"_{c}") for c in on), F.col("content").alias("_content"))
+    right = first.select(F.col(query).alias("_q"), *(F.col(c).alias(f"_{c}") for c in on), F.col("content").alias("_content"), *(F.col(c).alias(f"passage_{c}") for c in carry))
     match = F.col(query) == F.col("_q")
     for c in on:
         match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
     joined = citations.join(right, match, "left")
-    return joined.withColumn("valid", F.coalesce(F.col("_content").contains(F.col("excerpt")), F.lit(False))).select(*citations.columns, "valid")
+    return joined.withColumn("valid", F.coalesce(F.col("_content").contains(F.col("excerpt")), F.lit(False))).select(*citations.columns, "valid", *(f"passage_{c}" for c in carry))

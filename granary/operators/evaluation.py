@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def evaluation_rows(cases: DataFrame, retrieved: DataFrame, case: str, top_ks: list[int]) -> DataFrame:
-    """case, top_k, recall, reciprocal_rank, passed; cases (case, expected array), retrieved (case, rank, key).
+    """case, top_k, expected, got, recall, reciprocal_rank, passed; cases (case, expected array), retrieved (case, rank, key).
 
     A case is answerable if it expects something. Retrieval runs once, for the largest k.
     """
@@ -20,6 +20,8 @@ def evaluation_rows(cases: DataFrame, retrieved: DataFrame, case: str, top_ks: l
     return rows.select(
         case,
         "top_k",
+        "expected",
+        "got",
         F.when(answerable, F.size(F.array_intersect("got", "expected")) / F.size("expected")).alias("recall"),
         F.when(answerable, F.coalesce(1 / first, F.lit(0.0))).alias("reciprocal_rank"),
         ((F.size("got") == 0) == ~answerable).alias("passed"),

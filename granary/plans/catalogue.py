@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as fn
-from granary.operators import answers, chunking, evaluation, ingest, retrieval, rules, sections
+from granary.operators import answers, chunking, evaluation, ingest, retrieval, rules, sections, service
 from granary.session import table
-from granary.sources import html, manifest
+from granary.sources import embed, html, manifest, snapshots
 
 TARGET, OVERLAP = 100, 10
 
@@ -187,6 +187,81 @@ def stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.stemmed_search(table(spark, sf_dir, "benchmark"), "item_id", "text", _stemmed(spark, sf_dir), "doc_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def request_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    mode = F.element_at(F.array(*(F.lit(m) for m in (*service.MODES, "other", None))), (F.col("turn") % 5 + 1).cast("int"))
+    asked = turns.select("conv_id", "turn", F.col("text").alias("question"), mode.alias("retrieval_mode"), (F.col("conv_id") % 23).cast("int").alias("top_k"))
+    return service.checked_requests(asked).select("conv_id", "turn", "retrieval_mode", "error")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as questions, the three modes in turn; those of label 0 come without an embedding."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.when(F.col("label") != 0, F.col("embedding")).alias("embedding"))
+    mode = F.element_at(F.array(*map(F.lit, service.MODES)), (F.col("item_id") % 3 + 1).cast("int"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"), mode.alias("retrieval_mode"), F.lit(5).alias("top_k"))
+    return service.dispatch(asked.join(vectors, "item_id", "left"), "item_id")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.join(vectors, "doc_id", "full")
+
+
+def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    requests = _requests(spark, sf_dir)
+    contents = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    ranked = service.retrieve(requests, _chunks(spark, sf_dir), "item_id", "doc_id", "text")
+    passages = ranked.join(contents, "doc_id").select("item_id", "rank", F.col("doc_id").alias("key"), "content", F.lit("t").alias("title"))
+    return service.responses(requests, passages, "item_id"), passages
+
+
+def answered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _responses(spark, sf_dir)
+    return out.select("item_id", "error", F.col("retrieval_configuration").alias("configuration"), "abstained", "n_citations", F.sha2("answer", 256).alias("answer_sha256"))
+
+
+def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = service.log_rows(_responses(spark, sf_dir)[0])
+    return rows.select(F.sha2("question", 256).alias("question_sha256"), "abstained", F.array_join(F.col("retrieved_keys").cast("array<string>"), ";").alias("keys"), F.col("retrieval_configuration.configuration").alias("configuration"))
+
+
+def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads that quote the best passage of even items, and something else for odd ones."""
+    given, passages = _responses(spark, sf_dir)
+    best = passages.filter("rank = 1").select("item_id", F.col("key").cast("string").alias("source_url"), F.when(F.col("item_id") % 2 == 0, F.substring("content", 1, 20)).otherwise("no such text anywhere").alias("supporting_excerpt"))
+    payloads = best.select("item_id", F.to_json(F.struct(F.lit("short").alias("answer"), F.array(F.struct("source_url", "supporting_excerpt")).alias("citations"))).alias("payload"))
+    known = passages.select("item_id", "rank", "content", "title", F.col("key").cast("string").alias("source_url"))
+    judged = service.judged_payloads(payloads, known, "item_id", ("source_url",))
+    return service.overlay(given, judged, "item_id").select("item_id", "generated", "n_citations")
+
+
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ";").alias(c)
+    return _evaluated(spark, sf_dir).select("item_id", "top_k", listed("expected"), listed("got"))
+
+
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed.embed(docs, "text", embed.HashingProvider(64)).select("doc_id", "embedding")
+
+
+def snapshot_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("html_file"), F.col("html").alias("content"), "page_id")
+    said = pages.select(F.when(F.col("page_id") % 7 == 6, F.concat(F.lit("x"), "html_file")).otherwise(F.col("html_file")).alias("html_file"), F.when(F.col("page_id") % 7 == 1, "x").otherwise(F.col("source_id")).alias("source_id"), F.when(F.col("page_id") % 7 == 2, "0").otherwise(F.sha2("content", 256)).alias("content_sha256"))
+    return snapshots.consistent(pages, said).select("page_id", "error")
+
+
+def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as sources, orders' newest dates as snapshots, suppliers as normalized documents."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    placed = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate")
+    metadata = placed.join(customers, "c_custkey").groupBy("n_nationkey").agg(F.max("o_orderdate").alias("retrieved_at"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_name").alias("file_name"), F.lit(None).cast("date").alias("latest_effective_date"), F.sha2("s_name", 256).alias("normalized_content_hash"))
+    out = snapshots.listing(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), metadata, snapshots.latest_metadata(rows, "n_nationkey"), "n_nationkey")
+    return out.select("n_nationkey", "n_name", "latest_retrieved_at", "normalized_content_hash", "normalized")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -194,6 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         citation_validation, eval_rows, eval_summary, snapshot_changes, ingest_dedup, embedding_backfill, url_allowlist, quality_checks, source_summary,
         query_log_rollup, effective_date, html_elements, guidance_sections, section_audit,
         rule_sections, rule_audit, normalized_hash, stemmed_topk,
+        request_checks, answered_requests, query_log, generated_answers, eval_report, hashed_embeddings, snapshot_consistency, source_listing,
     )
 }
 
@@ -217,6 +293,13 @@ win as (select doc_id, t, unnest(range(0, case when len(t) = 0 then 0 else 1 + g
 chunks as (select doc_id, i::int as chunk_index, len(t[i * {TARGET - OVERLAP} + 1:i * {TARGET - OVERLAP} + {TARGET}])::int as token_count, sha256(array_to_string(t[i * {TARGET - OVERLAP} + 1:i * {TARGET - OVERLAP} + {TARGET}], ' ')) as content_hash from win)"""
 _GATE = " or ".join(f"regexp_matches(text, '{p}', 'i')" for p in fn.OUT_OF_SCOPE)
 
+_MODED = """req as (select item_id, text as q, ['vector', 'keyword', 'hybrid'][(item_id % 3 + 1)::int] as mode, coalesce(e.label <> 0 and e.embedding is not null, false) as has from benchmark b left join embeddings e on e.vec_id = b.item_id),
+req2 as (select *, error is not null as failed, case when mode = 'hybrid' and not (has and not gated) then 'hybrid-keyword-only' else mode end || '-top-5' as configuration from (select *, case when gated then null when length(coalesce(q, '')) not between 3 and 2000 then 'question must have 3 to 2000 characters' when mode = 'vector' and not has then 'vector retrieval needs an embedding provider' end as error from (select *, length(coalesce(q, '')) between 3 and 2000 and {gate} as gated from req))),
+hyb2 as (select item_id, doc_id, row_number() over (partition by item_id order by round(score, 12) desc, seen)::int as rank from (select item_id, doc_id, sum(1.0::double / (60 + rank)) as score, min(l * 100 + rank) as seen from (select item_id, doc_id, rank, l from both_lists join req2 using (item_id) where l = 0 or has) group by all)),
+found as (select k.item_id, doc_id, rank from kw k join req2 using (item_id) where mode = 'keyword' union all select v.item_id, doc_id, rank from vec v join req2 using (item_id) where mode = 'vector' and has union all select h.item_id, doc_id, rank from hyb2 h join req2 using (item_id) where mode = 'hybrid'),
+p as (select item_id, rank, doc_id, coalesce(text, '') as content from found join documents using (doc_id) join req2 using (item_id) where rank <= 5 and not gated and not failed),
+a as (select item_id, count(*)::int as n, string_agg('[' || rank || '] ' || content, chr(10) || chr(10) order by rank) as t, string_agg(doc_id::varchar, ';' order by rank) as keys from p group by all)"""
+
 ORACLES: dict[str, str] = {
     "latest_per_source": "select distinct on (user_id) user_id, ts, event_id, event_type from events order by user_id, ts desc, event_id desc",
     "chunk_documents": f"with {_CHUNKS} select * from chunks",
@@ -248,4 +331,18 @@ select c.conv_id, c.turn, coalesce(contains(p.content, substr(c.text, 1, 20)), f
     "source_summary": "select source, count(*) as n, count(quality) as labelled, max(doc_id) as latest from documents left join labels using (doc_id) group by source",
     "query_log_rollup": "select role, count(*) as n, count(distinct conv_id) as conversations, sum(length(text))::bigint as chars from conversations group by role",
     "effective_date": "select * from (values (1, '2012-07-09'), (2, '2009-12-31'), (3, null), (4, null), (5, '2020-05-01')) as t(id, effective)",
+    "request_checks": """select conv_id, turn, coalesce(mode, 'hybrid') as retrieval_mode, case when length(coalesce(text, '')) not between 3 and 2000 then 'question must have 3 to 2000 characters' when mode = 'other' then 'unknown retrieval mode' when conv_id % 23 not between 1 and 20 then 'top_k must be from 1 to 20' end as error
+from (select *, ['vector', 'keyword', 'hybrid', 'other', null][(turn % 5 + 1)::int] as mode from conversations)""",
+    "answered_requests": f"""with {_HYBRID}, {_MODED.replace("{gate}", _GATE.replace("(text,", "(q,"))}
+select item_id, error, configuration, case when not failed then n is null end as abstained, case when not failed then coalesce(n, 0)::int end as n_citations,
+case when not failed then sha256(case when n is null then '{answers.ABSTENTION}' else 'The indexed evidence relevant to this question is below. Review the cited text before relying on it.' || chr(10) || chr(10) || t end) end as answer_sha256 from req2 left join a using (item_id)""",
+    "query_log": f"""with {_HYBRID}, {_MODED.replace("{gate}", _GATE.replace("(text,", "(q,"))}
+select sha256(q) as question_sha256, n is null as abstained, coalesce(keys, '') as keys, configuration from req2 left join a using (item_id) where not failed""",
+    "generated_answers": f"""with {_HYBRID}, {_MODED.replace("{gate}", _GATE.replace("(text,", "(q,"))}
+select item_id, not failed and n is not null and item_id % 2 = 0 as generated, case when failed then null when n is not null and item_id % 2 = 0 then 1 else coalesce(n, 0)::int end as n_citations from req2 left join a using (item_id)""",
+    "eval_report": f"""with {_EVAL}, g as (select item_id, top_k, string_agg(doc_id::varchar, ';' order by rank) as got from kw, ks where rank <= top_k group by all)
+select item_id, top_k, coalesce(array_to_string(list_sort(expected), ';'), '') as expected, coalesce(got, '') as got from (select * from cases, ks) left join g using (item_id, top_k)""",
+    "snapshot_consistency": "select page_id, case page_id % 7 when 6 then 'no metadata for this file' when 1 then 'metadata is of another source' when 2 then 'content hash does not match metadata' end as error from pages",
+    "source_listing": """with m as (select c_nationkey as n_nationkey, max(o_orderdate) as newest from orders join customer on c_custkey = o_custkey group by all), s as (select s_nationkey as n_nationkey, max(s_name) as name from supplier group by all)
+select n_nationkey, n_name, newest as latest_retrieved_at, sha256(name) as normalized_content_hash, name is not null as normalized from nation left join m using (n_nationkey) left join s using (n_nationkey)""",
 }
