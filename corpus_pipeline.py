@@ -1,4 +1,9 @@
-"""A corpus through quality rules, near-duplicate removal, decontamination, redaction and packing."""
+"""A corpus through quality rules, near-duplicate removal, decontamination, redaction and packing.
+
+Defined results of the stages: a null text has no words, which the quality rules reject; rows that repeat a doc_id and
+its text are one document and go or stay together; documents without a doc_id count as the last ones of their group,
+each text for itself; an empty table stays empty; other columns are kept as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -21,28 +26,47 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return by_rows(df, rows, 8000)
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+UNNAMED = 1 << 62  # documents without a doc_id are counted from here
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with columns that documents don't have under names that no operator uses."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in COLUMNS else f"_own_{i}") for i, c in enumerate(docs.columns)))
+
+
+def back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, under their names, of what became of aside(docs)."""
+    return found.select(*(F.col(c if c in COLUMNS else f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return sized(quality.judge(docs).filter("kept").select(docs.columns), docs.count())
+    return sized(back(quality.judge(aside(docs)).filter("kept"), docs), docs.count())
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest doc_id."""
-    later = ngram_join.join_components(docs).filter("doc_id <> component_id").select("doc_id")
-    return sized(docs.join(later, "doc_id", "left_anti").select(docs.columns), docs.count())
+    keyed = aside(docs).withColumn("_key", F.coalesce("doc_id", F.lit(UNNAMED) + F.pmod(F.xxhash64("text"), F.lit(UNNAMED))))
+    linked = ngram_join.join_components(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    later = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_key"))
+    return sized(back(keyed.join(later, "_key", "left_anti"), docs), docs.count())
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    hit = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return sized(docs.join(hit, "doc_id", "left_anti").select(docs.columns), docs.count())
+    keyed = aside(docs).withColumn("_key", F.xxhash64("doc_id", "text"))
+    judged = decontaminate.decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = judged.filter("contaminated").select(F.col("doc_id").alias("_key"))
+    return sized(back(keyed.join(hit, "_key", "left_anti"), docs), docs.count())
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind, and n_chars of what is left."""
-    found = pii.annotate(docs, pii.fit(docs)).withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
+    held = aside(docs)
+    found = pii.annotate(held, pii.fit(held)).withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
     chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return sized(found.withColumn("n_chars", chars).select(docs.columns), docs.count())
+    return sized(back(found.withColumn("n_chars", chars), docs), docs.count())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
