@@ -273,3 +273,27 @@ def test_pipeline(spark):
         assert out.columns == docs.columns, name
         docs = out
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == docs.count()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated rows, long texts and columns named like those of the operators."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = next(r.text for r in quality.judge(docs).filter("kept").orderBy("doc_id").collect())
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    other = " ".join(reversed(good.split())) + " " + item
+    rows = [(900, good, "en", "s", 1), (900, good, "en", "s", 1), (None, good, None, None, None), (None, other, None, None, None), (None, None, None, None, None), (901, "word " * 60000, "en", "s", 1)]
+    own = ["kept", "spans", "base_spans", "k", "key", "root", "_key", "n_words", "w.x"]
+    odd = spark.createDataFrame(rows, docs.schema).withColumns({c: F.lit("mine") for c in own})
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, sf)
+        assert got.columns == odd.columns, name
+        assert all(r[c] == "mine" for r in got.collect() for c in own), name
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+    text_of = lambda name: sorted((str(r.doc_id), r.text) for r in stages[name](spark, odd.fillna("", "text"), sf).collect())
+    kept = [("900", good)] * 2 + [("901", "word " * 60000), ("None", "")]
+    assert text_of("ngram_jaccard_join") == sorted([*kept, ("None", other)])
+    assert text_of("benchmark_decontamination") == sorted([*kept, ("None", good)])
