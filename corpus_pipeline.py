@@ -1,8 +1,10 @@
 """A corpus through quality rules, near-duplicate removal, decontamination, redaction and packing.
 
 Defined results of the stages: a null text has no words, which the quality rules reject; rows that repeat a doc_id and
-its text are one document and go or stay together; documents without a doc_id count as the last ones of their group,
-each text for itself; an empty table stays empty; other columns are kept as they are, whatever their names.
+its text are one document and go or stay together; the texts of one doc_id are judged each for itself, and of those in
+one group one stays; documents without a doc_id count as the last ones of their group, each text for itself, and exact
+copies among them leave one row, unless they have no word; an empty table stays empty; other columns are kept as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, ngram_join, packing, pii, quality
 from granary.llm.queries import tokenizer_path
-from granary.llm.storage import shared_dir
+from granary.llm.storage import cut, shared_dir
 from granary.llm.storage import sized as by_rows
 from granary.session import table
 
@@ -49,10 +51,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word Jaccard of 0.8 or more) the document with the smallest doc_id."""
-    keyed = aside(docs).withColumn("_key", F.coalesce("doc_id", F.lit(UNNAMED) + F.pmod(F.xxhash64("text"), F.lit(UNNAMED))))
-    linked = ngram_join.join_components(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR)
-    later = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("_key"))
-    return sized(back(keyed.join(later, "_key", "left_anti"), docs), docs.count())
+    held = aside(docs)
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = cut(held.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text_hash).alias("low"), F.max(text_hash).alias("high")).filter("low <> high").select(F.col("doc_id").alias("_several")))
+    if several.count() <= decontaminate.BROADCAST_ROWS:
+        several = F.broadcast(several)
+    of_text = F.lit(UNNAMED) + F.pmod(F.xxhash64("doc_id", text_hash), F.lit(UNNAMED))
+    keyed = held.join(several, held["doc_id"] == several["_several"], "left").withColumn("_key", F.when(F.col("doc_id").isNotNull() & F.col("_several").isNull(), F.col("doc_id")).otherwise(of_text))
+    linked = cut(ngram_join.join_components(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_root")))
+    # Roots are smallest keys; a text of a doc_id with several may come before one.
+    texts = keyed.filter("_several is not null").select("_key", F.col("_several").alias("_id")).distinct()
+    least = linked.join(texts, "_key").groupBy("_root").agg(F.min(F.struct("_id", "_key")).alias("_least"))
+    moved = least.filter("_least._id < _root").select("_root", F.col("_least._key").alias("_first"))
+    later = linked.join(moved, "_root", "left").filter(F.col("_key") != F.coalesce("_first", "_root")).select("_key").distinct()
+    rest = keyed.join(later, "_key", "left_anti")
+    exact = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    own = F.struct(*held.columns)
+    once = rest.filter(exact).groupBy("_key").agg(F.min_by(own, F.to_json(own)).alias("_row")).select("_row.*")
+    return sized(back(rest.filter(~exact).select(*held.columns).union(once), docs), docs.count())
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

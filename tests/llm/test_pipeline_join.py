@@ -61,3 +61,18 @@ def test_copies_of_five_word_jaccard_from_80_percent(spark):
     assert len(between) > 10  # copies that three words at nine tenths don't link
     assert any(jaccard(text[i], text[i + 3], 5) < 0.8 for i in range(0, 160, 4))
     assert stayed(spark, rows) == smallest(rows)
+
+
+def test_rows_are_judged_by_doc_id_and_text(spark):
+    """A doc_id with several texts loses the copy only; exact copies without a doc_id leave one row."""
+    rng = random.Random(6)
+    a, b, c, d, e = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abcde")
+    near = a + " more"
+    rows = [(1, a), (5, near), (5, b), (6, b), (7, c), (3, c), (3, d), (9, e), (9, e + " end"), (None, d), (None, "alone " + b[::-1]), (None, "alone " + b[::-1]), (None, " "), (None, " "), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()
+    # 9 has two texts of one group: which of them stays is not defined by the doc_id.
+    assert len([r for r in got if r.doc_id == 9]) == 1
+    want = [(1, a), (5, b), (3, c), (3, d), (None, "alone " + b[::-1]), (None, " "), (None, " "), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got if r.doc_id != 9), key=repr) == sorted(want, key=repr)
+    assert [r.n_chars for r in got if r.text and r.text.startswith("alone")] == [10]
