@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 def evaluation_rows(cases: DataFrame, retrieved: DataFrame, case: str, top_ks: list[int]) -> DataFrame:
     """case, top_k, expected, got, recall, reciprocal_rank, passed; cases (case, expected array), retrieved (case, rank, key).
 
-    A case is answerable if it expects something. Retrieval runs once, for the largest k.
+    A case is answerable if it expects something. Retrieval runs once, for the largest k. Passages without a key count
+    for passed only: ranks close up over them. If cases have expected_subsections and retrieved has subsection, rows
+    have got_subsections and subsection_recall too, null where no subsection is expected.
     """
-    hits = retrieved.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("rank", "key"))).alias("got"))
+    parted = "expected_subsections" in cases.columns and "subsection" in retrieved.columns
+    hits = retrieved.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("rank", "key", *["subsection"][:parted]))).alias("got"))
     rows = cases.join(hits, case, "left").withColumn("top_k", F.explode(F.array(*map(F.lit, top_ks))))
-    got = F.filter(F.coalesce("got", F.array().cast("array<struct<rank:int,key:bigint>>")), lambda x: x["rank"] <= F.col("top_k"))
-    rows = rows.withColumn("got", F.transform(got, lambda x: x["key"]))
+    got = F.filter(F.coalesce("got", F.array().cast(hits.schema["got"].dataType)), lambda x: x["rank"] <= F.col("top_k"))
+    rows = rows.withColumn("passages", got).withColumn("got", F.filter(F.transform("passages", lambda x: x["key"]), lambda x: x.isNotNull()))
     answerable = F.size("expected") > 0
+    parts = []
+    if parted:
+        rows = rows.withColumn("got_subsections", F.filter(F.transform("passages", lambda x: x["subsection"]), lambda x: x.isNotNull() & (x != "")))
+        share = F.size(F.array_intersect("got_subsections", "expected_subsections")) / F.size("expected_subsections")
+        parts = ["got_subsections", F.when(answerable & (F.size("expected_subsections") > 0), share).alias("subsection_recall")]
     first = F.array_min(F.filter(F.transform("got", lambda k, i: F.when(F.array_contains("expected", k), i + 1)), lambda x: x.isNotNull()))
     return rows.select(
         case,
@@ -24,15 +32,18 @@ def evaluation_rows(cases: DataFrame, retrieved: DataFrame, case: str, top_ks: l
         "got",
         F.when(answerable, F.size(F.array_intersect("got", "expected")) / F.size("expected")).alias("recall"),
         F.when(answerable, F.coalesce(1 / first, F.lit(0.0))).alias("reciprocal_rank"),
-        ((F.size("got") == 0) == ~answerable).alias("passed"),
+        ((F.size("passages") == 0) == ~answerable).alias("passed"),
+        *parts,
     )
 
 
 def evaluation_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Means over answerable cases, and of passed over all."""
+    """Means over answerable cases, and of passed over all; subsection_recall (null if there is none) if rows have it."""
+    parts = [F.round(F.avg("subsection_recall"), 6).alias("subsection_recall")] if "subsection_recall" in rows.columns else []
     return rows.groupBy(*by).agg(
         F.count("recall").alias("answerable"),
         F.round(F.coalesce(F.avg("recall"), F.lit(0.0)), 6).alias("recall"),
         F.round(F.coalesce(F.avg(F.when(F.col("recall").isNotNull(), F.col("reciprocal_rank"))), F.lit(0.0)), 6).alias("mrr"),
         F.round(F.avg(F.col("passed").cast("double")), 6).alias("abstention_accuracy"),
+        *parts,
     )
