@@ -147,6 +147,15 @@ def effective_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", fn.effective_date(F.col("text")).cast("string").alias("effective"))
 
 
+def effective_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, three of four with a notice at the end: short and long month names, and one that is none."""
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 9000).cast("int"))
+    notices = [F.date_format(day, "'. Amended; eff. 'MMM'. 'd', 'yyyy'.'"), F.date_format(day, "' eff. 'MMMM' 'd', 'yyyy' and eff. June 2, 2021'"), F.lit(" eff. Sept. 5, 2011"), F.lit("")]
+    notice = F.element_at(F.array(*notices), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), notice).alias("text"))
+    return docs.select("doc_id", fn.effective_date(F.col("text")).cast("string").alias("effective"))
+
+
 def html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.elements(table(spark, sf_dir, "pages"), "page_id")
 
@@ -267,7 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         latest_per_source, chunk_documents, keyword_query_terms, term_postings, keyword_topk, vector_topk, hybrid_rrf, rrf_fuse, scope_gate, grounded_answer,
         citation_validation, eval_rows, eval_summary, snapshot_changes, ingest_dedup, embedding_backfill, url_allowlist, quality_checks, source_summary,
-        query_log_rollup, effective_date, html_elements, guidance_sections, section_audit,
+        query_log_rollup, effective_date, effective_dates, html_elements, guidance_sections, section_audit,
         rule_sections, rule_audit, normalized_hash, stemmed_topk,
         request_checks, answered_requests, query_log, generated_answers, eval_report, hashed_embeddings, snapshot_consistency, source_listing,
     )
@@ -331,6 +340,10 @@ select c.conv_id, c.turn, coalesce(contains(p.content, substr(c.text, 1, 20)), f
     "source_summary": "select source, count(*) as n, count(quality) as labelled, max(doc_id) as latest from documents left join labels using (doc_id) group by source",
     "query_log_rollup": "select role, count(*) as n, count(distinct conv_id) as conversations, sum(length(text))::bigint as chars from conversations group by role",
     "effective_date": "select * from (values (1, '2012-07-09'), (2, '2009-12-31'), (3, null), (4, null), (5, '2020-05-01')) as t(id, effective)",
+    "effective_dates": r"""with n as (select doc_id, coalesce(text, '') as text, date '2000-01-01' + (doc_id % 9000)::int as d from documents),
+t as (select doc_id, text || case doc_id % 4 when 0 then strftime(d, '. Amended; eff. %b. %-d, %Y.') when 1 then strftime(d, ' eff. %B %-d, %Y and eff. June 2, 2021') when 2 then ' eff. Sept. 5, 2011' else '' end as text from n),
+p as (select doc_id, regexp_extract(text, '\beff\.\s+([A-Z][a-z]+)\.?\s+(\d{1,2}),\s+(\d{4})', ['m', 'd', 'y']) as x from t)
+select doc_id, coalesce(try_strptime(x.m || ' ' || x.d || ' ' || x.y, '%b %d %Y'), try_strptime(x.m || ' ' || x.d || ' ' || x.y, '%B %d %Y'))::date::varchar as effective from p""",
     "request_checks": """select conv_id, turn, coalesce(mode, 'hybrid') as retrieval_mode, case when length(coalesce(text, '')) not between 3 and 2000 then 'question must have 3 to 2000 characters' when mode = 'other' then 'unknown retrieval mode' when conv_id % 23 not between 1 and 20 then 'top_k must be from 1 to 20' end as error
 from (select *, ['vector', 'keyword', 'hybrid', 'other', null][(turn % 5 + 1)::int] as mode from conversations)""",
     "answered_requests": f"""with {_HYBRID}, {_MODED.replace("{gate}", _GATE.replace("(text,", "(q,"))}
