@@ -9,8 +9,9 @@ Bundling is linear, so a prototype is the n-gram counts of its language times th
 summed over the corpus, at most `SLOTS ** 3` for a language. Letters outside a-z share 21 slots by code point.
 
 Defined results: null, empty and letterless texts are `und` with score 0, as are all texts if no language was learned;
-equal cosines go to the first language in order; repeated rows count as often as they occur; other columns are carried
-along, and new columns replace columns of the same names.
+a letter is what Unicode calls one, in any plane; texts are read whole, however long; equal cosines go to the first
+language in order; repeated rows count as often as they occur; a null lang or doc_id is not learned from; an empty table
+gives an empty result; other columns are carried along, and new columns replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import tokens as tk
-from granary.llm.storage import small_batches
 
 SLOTS, DIM, SEED = 48, 512, 7
 NGRAMS = SLOTS**3
@@ -35,13 +35,12 @@ def _letters() -> np.ndarray:
     """The slot of each code point: 0 not a letter, 1-26 a-z in either case, others from 27 on."""
     if "letters" not in _cache:
         points = np.zeros(0x110000, np.uint8)
-        for p in range(0x30000):
+        for p in range(len(points)):
             c = chr(p)
             if c.isalpha():
                 low = c.lower()
                 x = ord(low[0])
                 points[p] = x - 96 if 97 <= x <= 122 else 27 + (x * 2654435761 >> 7) % (SLOTS - 27)
-        points[0x30000:0x32000] = 27
         _cache["letters"] = points
     return _cache["letters"]
 
@@ -99,7 +98,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             g = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(x[g])], ["lang", "ngram", "n"])
 
-    used = small_batches(docs).select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    used = docs.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     return used.mapInArrow(count, "lang string, ngram int, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
 
 
@@ -118,7 +117,7 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def classify(docs: DataFrame, langs: list[str], vectors: np.ndarray) -> DataFrame:
     """docs with lang_pred and score, the cosine (0 if below)."""
-    docs = small_batches(docs.select([c for c in docs.columns if c.lower() not in ("lang_pred", "score")]))
+    docs = docs.select([c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = (vectors / np.maximum(norms, 1e-12)).astype(np.float32)

@@ -2,11 +2,12 @@
 
 Each document's histogram of character classes and its histogram of common words are compared with references of
 each language by Jensen-Shannon distance (base 2, 0 to 1). References are summed over all documents whose language is
-known, which pass the base rules and have few symbols. A document is judged by the nearest language; texts under the length guards have
-histograms too noisy to judge and keep the base verdict.
+known, which pass the base rules and have few symbols. A document is judged by the nearest language, the one with the
+least sum of both distances; texts under the length guards have histograms too noisy to judge and keep the base verdict.
 
-Defined results: null text is the empty text (no words, base_failed); rows that repeat are judged alike, each on its
-own; an empty table gives an empty result and no reference; where no language is known no document fails by
+Defined results: null text is the empty text (no words, base_failed); texts are read whole, however long; of languages
+equally near the first in order judges; a distance that equals its limit passes; rows that repeat are judged alike, each
+on its own; an empty table gives an empty result and no reference; where no language is known no document fails by
 divergence. Columns other than text and lang are carried along, and new columns replace columns of the same names.
 """
 
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import tokens as tk
-from granary.llm.storage import small_batches
 
 # Very common words of four languages, most common first.
 COMMON = {
@@ -159,10 +159,19 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         rows = [(lang, i, int(v)) for lang, x in sums.items() for i, v in enumerate(x)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], ["lang", "bin", "n"])
 
-    used = small_batches(docs).select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    used = docs.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     return used.mapInArrow(add, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
+def nearest(chars: np.ndarray, words: np.ndarray, refs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Both distances of each document from its nearest reference; 0 if there is none."""
+    if not refs:
+        return np.zeros(len(chars)), np.zeros(len(chars))
+    of_chars, of_words = np.array([js_distance(chars, c) for c, _ in refs]), np.array([js_distance(words, w) for _, w in refs])
+    best = (of_chars + of_words).argmin(0), np.arange(len(chars))
+    return of_chars[best], of_words[best]
+
+
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance."""
     # A few dozen numbers for each language, however large the corpus is.
@@ -172,7 +181,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     refs = [(x[: rules.classes - 1] / x[: rules.classes - 1].sum(), x[rules.classes - 1 :] / x[rules.classes - 1 :].sum()) for _, x in sorted(table.items()) if x[: rules.classes - 1].sum() and x[rules.classes - 1 :].sum()]
     new = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("char_distance", T.DoubleType()), ("word_distance", T.DoubleType())]
     names = {n for n, _ in new}
-    docs = small_batches(docs.select([c for c in docs.columns if c.lower() not in names]))
+    docs = docs.select([c for c in docs.columns if c.lower() not in names])
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in new]])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +191,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
                 m = _measure(t, rules)
                 chars, words = _histograms(t, rules)
                 failed = _base_failed(m, rules)
-                near_c = np.min([js_distance(chars, c) for c, _ in refs], 0) if refs else np.zeros(t.n)
-                near_w = np.min([js_distance(words, w) for _, w in refs], 0) if refs else np.zeros(t.n)
+                near_c, near_w = nearest(chars, words, refs)
                 sure = (m["n_words"] >= rules.judged_words) & (m["word_chars"] >= rules.judged_chars)
                 far = sure & ((near_c > rules.max_char_distance) | (near_w > rules.max_word_distance))
                 cols = [*(m[n].astype(np.int64) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed, ~failed & ~far, near_c, near_w]

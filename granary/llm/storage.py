@@ -1,17 +1,20 @@
-"""The shared folder in which lineage is cut."""
+"""The shared folder in which lineage is cut, and the size of what is written."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where it is unset (tests) a temporary folder takes its place."""
+    """`spark.checkpoint.dir` of the session. Where it is unset a local session gets a folder; a cluster gets an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="granary-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -19,22 +22,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and stored in the shared folder; it survives the loss of executors."""
+    """`df` computed once and stored in the shared folder; it survives the loss of executors.
+
+    Spark removes such files when they are no longer used if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
-    """df in so many partitions at most that each has about `each` of its `rows`; so small results are few files."""
-    return df.coalesce(max(1, -(-rows // each)))
+def remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
+    """Rows, and bytes of their texts."""
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    return rows, size or 0
 
 
-def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """df, after the session's Arrow batches are held to so many rows: thousands of long texts are too much for one."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH_ROWS)) <= rows:
-        conf.set(BATCH_ROWS, str(rows))
-    return df
+def sized(df: DataFrame, rows: int, text_bytes: int = 0, each_rows: int = 20_000, each_bytes: int = 16 << 20) -> DataFrame:
+    """df in so many partitions at most that each has about `each_rows` of its rows or `each_bytes` of its texts."""
+    return df.coalesce(max(1, -(-rows // each_rows), -(-text_bytes // each_bytes)))
