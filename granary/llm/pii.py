@@ -8,8 +8,9 @@ final span classifier, naive Bayes over bounded features of the span and its sur
 Base matches are always kept; other candidates are added if the classifier takes them and they overlap no base match.
 
 Defined results: null text is the empty text, which has no spans; rows are judged one by one, so repeated ones alike;
-an empty table gives an empty result. Columns of docs are carried along; new ones replace columns of the same names.
-Positions are code points, end exclusive.
+texts are read whole, and n matches in one text cost n ** 1.5 small steps; equal vote patterns share one soft label, and
+a candidate of exactly even odds is not added; an empty table gives an empty result. Columns of docs are carried along;
+new ones replace columns of the same names. Positions are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.storage import cut
+from granary.llm.arrays import let, scan
 
 # \\G lets a match begin where the last one ended; else it begins at the start of a run. So no run is read from each of
 # its places. Loops are possessive where nothing that follows could take back a character; so no recursion.
@@ -34,8 +35,8 @@ BASE = {
 NEEDED = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 # Wider patterns, gazetteers and context words of the labelers.
 WIDER = {
-    "key": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]{0,64}[0-9])(?=[0-9_/+=-]{0,64}[A-Za-z])[A-Za-z0-9_/+=-]{16,}+",
-    "spelled_email": r"(?i)(?<![\w.])[\w.]{1,64}\x20?[\[(]?\bat\b[\])]?\x20?[\w-]{1,64}\x20?[\[(]?\bdot\b[\])]?\x20?[a-z]{2,6}\b",
+    "key": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])(?=[0-9_/+=-]*+[A-Za-z])[A-Za-z0-9_/+=-]{16,}+",
+    "spelled_email": r"(?i)(?<![\w.])[\w.]++\x20?[\[(]?\bat\b[\])]?\x20?[\w-]++\x20?[\[(]?\bdot\b[\])]?\x20?[a-z]{2,6}\b",
     "local_phone": r"(?<![0-9+-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
     "id_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
@@ -46,21 +47,28 @@ CONTEXT = r"(?i)\b(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|card|visa|cr
 OTHER_CONTEXT = r"(?i)\b(?:isbn|version|page|order|invoice|ref|doi|issue|chapter|figure|commit|hash|checksum|uuid|seite|página)\b"
 LABELERS = ("regex", "gazetteer", "context", "shape", "length")
 FEATURES = ("kind", "size", "digits", "letters", "variety", "before", "after")
-ROUNDS, NEAR, BELIEF = 8, 40, 0.2
+ROUNDS, SETTLED, NEAR, BELIEF = 500, 1e-9, 40, 0.2
+CHUNK = 4096
+FOUND = "struct<start:int,end:int,text:string,left:string,right:string>"
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,text>> of the leftmost non-overlapping matches."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    """array<struct<start,end,text,left,right>> of the leftmost non-overlapping matches, with what stands beside them."""
+
+    def items(gaps: Column, hits: Column) -> Column:
+        later = lambda i: F.concat(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.coalesce(F.get(hits, i + 1), F.lit("")))
+        return F.transform(hits, lambda h, i: F.struct(F.get(gaps, i).alias("gap"), h.alias("hit"), F.substring(later(i), 1, 1).alias("right")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text")))).alias("out"))
+        left = F.substring(F.concat(state["tail"], x["gap"]), -NEAR, NEAR)
+        after = F.struct(end.alias("at"), F.substring(F.concat(state["tail"], x["gap"], x["hit"]), -NEAR, NEAR).alias("tail"))
+        return after, F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"), left.alias("left"), x["right"].alias("right"))
 
-    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = let(F.struct(gaps.alias("g"), hits.alias("h")), lambda x: items(x["g"], x["h"]))
+    return scan(found, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), step, FOUND)
 
 
 def luhn(digits: Column) -> Column:
@@ -91,8 +99,7 @@ def _candidates(text: Column) -> Column:
     def described(kind: str):
         def one(x: Column) -> Column:
             valid = F.when(passes(kind, x["text"]), 1).otherwise(-1) if kind in BASE else F.lit(0)
-            left = F.substring(text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR)))
-            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), valid.alias("valid"), left.alias("left"), F.substring(text, x["end"] + 1, F.lit(1)).alias("right"))
+            return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), valid.alias("valid"), x["left"].alias("left"), x["right"].alias("right"))
 
         return one
 
@@ -140,48 +147,63 @@ class SpanModel:
     weights: dict[str, dict[str, float]]
 
 
-def _posterior(prior: float, reliability: dict[str, tuple[list[float], list[float]]]) -> Column:
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for name, (yes, no) in reliability.items():
-        steps = [math.log(a / b) for a, b in zip(yes, no)]
-        odds = odds + F.when(F.col(name) < 0, steps[0]).when(F.col(name) == 0, steps[1]).otherwise(steps[2])
-    return 1 / (1 + F.exp(-odds))
+BEGIN = ([0.1, 0.3, 0.6], [0.5, 0.4, 0.1])  # labelers that are right more often than not
 
 
-def fit(docs: DataFrame) -> SpanModel:
-    """Labelers' reliabilities and the classifier, from all candidates of all documents."""
-    text = F.coalesce("text", F.lit(""))
-    each = docs.select(F.explode(_candidates(text)).alias("c"))
-    rows = cut(each.select(*(v.cast("int").alias(k) for k, v in votes(F.col("c")).items()), *(v.alias(f"f_{k}") for k, v in features(F.col("c")).items())))
-    counted = cut(rows.groupBy(*LABELERS).agg(F.count("*").alias("n")).coalesce(1))
-    # Begin with labelers that are right more often than not; this counts like a share of the candidates throughout.
-    begin = ([0.1, 0.3, 0.6], [0.5, 0.4, 0.1])
-    prior, reliability = 0.5, {k: begin for k in LABELERS}
+def estimate(counts: dict[tuple[int, ...], int]) -> tuple[float, dict[str, tuple[list[float], list[float]]]]:
+    """Prior and reliabilities by expectation-maximisation, until they settle; counts: vote pattern -> candidates.
+
+    The starting values count like a share BELIEF of the candidates throughout.
+    """
+    prior, reliability = 0.5, {k: BEGIN for k in LABELERS}
+    n = sum(counts.values())
+    if not n:
+        return prior, reliability
+    given = 1 + BELIEF * n
     for _ in range(ROUNDS):
-        p = F.col("p")
-        sums = [F.sum(p * F.col("n")).alias("yes"), F.sum((1 - p) * F.col("n")).alias("no")]
-        for k in LABELERS:
-            for v in (-1, 0, 1):
-                here = (F.col(k) == v).cast("double") * F.col("n")
-                sums += [F.sum(p * here).alias(f"{k}{v}y"), F.sum((1 - p) * here).alias(f"{k}{v}n")]
-        got = counted.withColumn("p", _posterior(prior, reliability)).agg(*sums).first()
-        if got["yes"] is None:
+        belief = {}
+        for pattern in counts:
+            odds = math.log(prior / (1 - prior)) + sum(math.log(reliability[k][0][v + 1] / reliability[k][1][v + 1]) for k, v in zip(LABELERS, pattern))
+            belief[pattern] = 1 / (1 + math.exp(-odds))
+        yes = sum(belief[x] * m for x, m in counts.items())
+        before, prior = prior, (yes + given / 2) / (n + given)
+        moved = abs(prior - before)
+        for i, k in enumerate(LABELERS):
+            sides = []
+            for side, total in ((0, yes), (1, n - yes)):
+                mass = [sum((belief[x] if side == 0 else 1 - belief[x]) * m for x, m in counts.items() if x[i] == v) for v in (-1, 0, 1)]
+                sides.append([(mass[v] + given * BEGIN[side][v]) / (total + given) for v in range(3)])
+            moved = max(moved, *(abs(p - q) for new, old in zip(sides, reliability[k]) for p, q in zip(new, old)))
+            reliability[k] = (sides[0], sides[1])
+        if moved < SETTLED:
             break
-        given = 1 + BELIEF * (got["yes"] + got["no"])
-        prior = (got["yes"] + given / 2) / (got["yes"] + got["no"] + given)
-        reliability = {k: tuple([(got[f"{k}{v}{s}"] + given * start[v + 1]) / (got[t] + given) for v in (-1, 0, 1)] for s, t, start in (("y", "yes", begin[0]), ("n", "no", begin[1]))) for k in LABELERS}
-    soft = rows.withColumn("p", _posterior(prior, reliability))
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(f"f_{k}").alias("value")) for k in FEATURES)))
-    # A few hundred rows at most: features have bounded sets of values.
-    table = soft.select("p", pairs.alias("x")).groupBy("x.feature", "x.value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).collect()
-    total: dict[str, list[float]] = {}
-    for r in table:
-        t = total.setdefault(r["feature"], [0.0, 0.0, 0])
-        t[0], t[1], t[2] = t[0] + r["yes"], t[1] + r["no"], t[2] + 1
-    weights: dict[str, dict[str, float]] = {k: {} for k in FEATURES}
-    for r in sorted(table, key=lambda r: (r["feature"], r["value"])):
-        yes, no, n = total[r["feature"]]
-        weights[r["feature"]][r["value"]] = math.log((r["yes"] + 1) / (yes + n) / ((r["no"] + 1) / (no + n)))
+    return prior, reliability
+
+
+def fit(docs: DataFrame) -> SpanModel:
+    """Labelers' reliabilities and the classifier, from all candidates of all documents, in one pass.
+
+    What reaches the driver are counts by vote pattern and feature value: 3 ** 5 patterns times some 80 values at most.
+    """
+    each = docs.select(F.explode(_candidates(F.coalesce("text", F.lit("")))).alias("c"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in features(F.col("c")).items())))
+    counted = each.select(*(v.cast("int").alias(k) for k, v in votes(F.col("c")).items()), pairs.alias("x")).groupBy(*LABELERS, "x.feature", "x.value").agg(F.count("*").alias("n"))
+    rows = sorted((tuple(r[k] for k in LABELERS), r["feature"], r["value"], r["n"]) for r in counted.collect())
+    patterns: dict[tuple[int, ...], int] = {}
+    for pattern, feature, _, n in rows:
+        if feature == FEATURES[0]:  # each candidate has one value of it
+            patterns[pattern] = patterns.get(pattern, 0) + n
+    prior, reliability = estimate(patterns)
+    logs = {k: [math.log(a / b) for a, b in zip(*reliability[k])] for k in LABELERS}
+    soft = {x: 1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(logs[k][v + 1] for k, v in zip(LABELERS, x)))) for x in patterns}
+    mass: dict[str, dict[str, list[float]]] = {k: {} for k in FEATURES}
+    for pattern, feature, value, n in rows:
+        m = mass[feature].setdefault(value, [0.0, 0.0])
+        m[0], m[1] = m[0] + soft[pattern] * n, m[1] + (1 - soft[pattern]) * n
+    weights: dict[str, dict[str, float]] = {}
+    for feature, values in mass.items():
+        yes, no = (sum(m[i] for m in values.values()) + len(values) for i in (0, 1))
+        weights[feature] = {v: math.log((m[0] + 1) / yes / ((m[1] + 1) / no)) for v, m in sorted(values.items())}
     return SpanModel(prior, reliability, weights)
 
 
@@ -200,22 +222,51 @@ def annotate(docs: DataFrame, model: SpanModel) -> DataFrame:
     docs = docs.select([c for c in docs.columns if c.lower() not in ("base_spans", "spans", "_candidates")])
     held = docs.withColumn("_candidates", _candidates(F.coalesce("text", F.lit(""))))
     short = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    base = F.transform(F.filter("_candidates", lambda c: c["valid"] == 1), short)
-    with_base = held.withColumn("base_spans", base)
-    taken = F.filter("_candidates", lambda c: (c["valid"] == 0) & (score(model, c) > 0) & ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return with_base.withColumn("spans", F.concat("base_spans", F.transform(taken, short))).drop("_candidates")
+    with_base = held.withColumn("base_spans", F.transform(F.filter("_candidates", lambda c: c["valid"] == 1), short))
+    taken = F.transform(F.filter("_candidates", lambda c: (c["valid"] == 0) & (score(model, c) > 0)), short)
+    return with_base.withColumn("spans", F.concat("base_spans", clear_of(taken, F.col("base_spans")))).drop("_candidates")
+
+
+def clear_of(spans: Column, base: Column) -> Column:
+    """Those of spans (kind, start, end) that overlap none of base, by kind as in KINDS, then start."""
+    kind = "struct<start:int,end:int,kind:string,base:boolean,free:boolean>"
+    marked = lambda xs, is_base: F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.lit(is_base).alias("base")))
+
+    def with_free(x: Column, free: Column) -> Column:
+        return F.struct(*(x[c].alias(c) for c in ("start", "end", "kind", "base")), free.alias("free"))
+
+    # In order of starts: what ends after this start comes before, what starts before this end comes next.
+    onward = scan(F.array_sort(F.concat(marked(base, True), marked(spans, False))), F.lit(0), lambda reach, x: (F.when(x["base"], F.greatest(reach, x["end"])).otherwise(reach), with_free(x, x["start"] >= reach)), kind)
+    back = scan(F.reverse(onward), F.lit(2**31 - 1), lambda near, x: (F.when(x["base"], x["start"]).otherwise(near), with_free(x, x["free"] & (x["end"] <= near))), kind)
+    rank = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
+    left = F.array_sort(F.transform(F.filter(back, lambda x: ~x["base"] & x["free"]), lambda x: F.struct(rank(x).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    both = F.transform(left, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.when((F.size(spans) == 0) | (F.size(base) == 0), spans).otherwise(both)
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with each span replaced by its kind in brackets; of overlapping spans the later start goes into the earlier."""
+    """text with each span replaced by its kind in brackets; of overlapping spans the later start goes into the earlier.
+
+    The text is cut into chunks once; each stretch that stays is then read from its chunks, not from the text's begin.
+    """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before, mark).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        mark = F.when(s["start"] >= at, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        return F.greatest(at, s["end"]), F.struct(at.alias("start"), F.greatest(at, s["start"]).alias("end"), mark.alias("mark"))
+
+    def stretch(chunks: Column, a: Column, b: Column) -> Column:
+        def part(c: Column) -> Column:
+            begin = F.greatest(a - c * CHUNK, F.lit(0))
+            return F.substring(F.get(chunks, c), begin + 1, F.least(b - c * CHUNK, F.lit(CHUNK)) - begin)
+
+        inside = F.sequence(F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int"))
+        return F.when(b > a, F.array_join(F.transform(inside, part), "")).otherwise("")
 
-    whole = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    rest = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("start"), F.length(text).alias("end"), F.lit("").alias("mark"))
+    pieces = F.concat(scan(ordered, F.lit(0), step, "struct<start:int,end:int,mark:string>"), F.array(rest))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    whole = let(chunks, lambda c: F.array_join(F.transform(pieces, lambda p: F.concat(stretch(c, p["start"], p["end"]), p["mark"])), ""))
     return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
