@@ -9,10 +9,11 @@ Template: `### role: text</turn>` and a line break for each turn. In roles and t
 breaks are written as &a; &h; &l; &c; &n; so no text can hold a control string, and reading is exact. The loss mask
 lists the code point ranges of assistant texts in the formatted string.
 
-Defined results: null role and text are empty; a parent that doesn't exist makes its reply a root; messages that reply
-in a circle, or below one, belong to no path; of rows with one id any one counts (the linear form numbers rows by turn,
-role and text, so there repeated rows are turns of their own); rows of null conv_id are one conversation; an empty
-table gives an empty result; other columns are not carried.
+Defined results: null role and text are empty; a message without an id is none; a parent that doesn't exist makes its
+reply a root; messages that reply in a circle, or below one, belong to no path; of rows with one id the least by
+parent, tree, role, text and score counts, nulls first (the linear form numbers rows by turn, role and text, nulls first,
+so there repeated rows are turns of their own); branches that tie in score and length go by id; rows of null conv_id are
+one conversation; texts are kept whole; an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm.arrays import scan
 from granary.llm.storage import cut
 
 # Escapes; & is written first and read last.
@@ -40,9 +42,21 @@ def linear_tree(conversations: DataFrame) -> DataFrame:
     return numbered.select(name(F.col("n")).alias("id"), F.when(F.col("n") > 1, name(F.col("n") - 1)).alias("parent"), F.col("conv_id").alias("tree"), "role", "text", F.lit(1.0).alias("score"))
 
 
+MESSAGE = ("parent", "tree", "role", "text", "score")
+
+
+def one_per_id(messages: DataFrame) -> DataFrame:
+    """(id, parent, tree, role, text, score): of rows with one id the least, whatever their order."""
+    least = messages.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct(*MESSAGE)).alias("m"))
+    return least.select("id", *(F.col(f"m.{c}").alias(c) for c in MESSAGE))
+
+
 def chosen_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
-    """(leaf, id, place) of each message on one of the `keep` best paths of its root; place counts from the root, from 0."""
-    nodes = cut(messages.filter(F.col("id").isNotNull()).select("id", "parent", "score").dropDuplicates(["id"]))
+    """(leaf, id, place) of each message on one of the `keep` best paths of its root; place counts from the root, from 0.
+
+    messages (id, parent, tree, role, text, score) have one row for each id; see one_per_id.
+    """
+    nodes = cut(messages.select("id", "parent", "score"))
     known = nodes.select(F.col("id").alias("parent"))
     tied = nodes.join(known.withColumn("there", F.lit(True)), "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("size"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.col("id").alias("top"))
     # Messages that have reached a root are set aside; only the others are joined again.
@@ -81,24 +95,23 @@ def unescaped(text: str, pairs: tuple[tuple[str, str], ...]) -> str:
 
 def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     """(tree, leaf, formatted, loss): loss is array<struct<start,end>> of assistant texts in formatted, in code points."""
-    turns = paths.join(messages.dropDuplicates(["id"]).select("id", "tree", "role", "text"), "id")
+    turns = paths.join(messages.select("id", "tree", "role", "text"), "id")
     role = escaped(F.coalesce("role", F.lit("")), ROLE_ESCAPES)
     text = escaped(F.coalesce("text", F.lit("")), TEXT_ESCAPES)
     lines = turns.select("leaf", "tree", F.struct("place", F.concat(F.lit(OPEN), role, F.lit(BETWEEN)).alias("head"), text.alias("body"), (F.coalesce("role", F.lit("")) == LEARNED).alias("learned")).alias("turn"))
     held = lines.groupBy("leaf").agg(F.first("tree").alias("tree"), F.array_sort(F.collect_list("turn")).alias("turns"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def place(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["head"])
+    def place(at: Column, t: Column) -> tuple[Column, Column]:
+        start = at + F.length(t["head"])
         end = start + F.length(t["body"])
-        span = F.when(t["learned"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
-        return F.struct((end + len(CLOSE)).alias("at"), F.concat(acc["spans"], span).alias("spans"))
+        return end + len(CLOSE), F.struct(start.alias("start"), end.alias("end"), t["learned"].alias("learned"))
 
+    spans = F.filter(scan(F.col("turns"), F.lit(0), place, "struct<start:int,end:int,learned:boolean>"), lambda s: s["learned"])
     return held.select(
         "tree",
         "leaf",
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("turns", F.struct(F.lit(0).alias("at"), none.alias("spans")), place, lambda acc: acc["spans"]).alias("loss"),
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("loss"),
     )
 
 
@@ -127,7 +140,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("tree", "leaf", "formatted", "loss").mapInArrow(run, f"tree {tree}, leaf string, turns array<struct<role:string,text:string>>, learned string, formatted_chars long")
 
 
+def format_trees(messages: DataFrame, keep: int = 1) -> DataFrame:
+    """(tree, leaf, formatted, loss) of the `keep` best paths of each root; messages may repeat ids."""
+    held = cut(one_per_id(messages))
+    return format_paths(held, chosen_paths(held, keep))
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conversations (conv_id, turn, role, text) as (tree, leaf, formatted, loss)."""
-    messages = cut(linear_tree(conversations))
+    messages = cut(linear_tree(conversations))  # numbered, so ids don't repeat
     return format_paths(messages, chosen_paths(messages))
