@@ -20,11 +20,12 @@ from e group by conv_id
 
 ORACLES["op8_warc"] = r"""
 with p as (
-  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+  select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+    replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') as target from pages
 ), f as (select *, max(page_id) over (partition by payload_digest) as last from p)
 select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and last <> page_id then 'revisit' else 'response' end as record_type,
-  case when payload_bytes >= 1000 and last <> page_id then last end as refers_to
+  case when payload_bytes >= 1000 and last <> page_id then last end as refers_to, target
 from f
 """
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import chat, decontaminate, langid, lpf, ngram_join, packing, pii, quality, substring, warc
-from granary.llm.storage import cut, shared_dir
+from granary.llm.storage import cut, remove, shared_dir
 from granary.session import table
 
 
@@ -67,17 +67,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
-    out = cut(
-        captures.select(
-            warc.page_of(F.col("id")).alias("page_id"),
-            F.col("response.payload_bytes").alias("payload_bytes"),
-            F.col("response.digest").alias("payload_digest"),
-            F.col("response.type").alias("record_type"),
-            warc.page_of(F.col("response.refers_to")).alias("refers_to"),
-        )
-    )
-    warc.remove(spark, path)
+    out = cut(warc.captures(warc.read_records(spark, path, with_payload=False)))
+    remove(spark, path)
     return out
 
 

@@ -5,9 +5,11 @@ their response by WARC-Concurrent-To. Archives are written by Spark's text sink,
 and read file by file, record by record, by Content-Length. Assembly joins the three kinds of records through their
 identifiers to one nested row per capture.
 
-Defined results: null html is the empty payload; null url is no target; line breaks in urls are percent-coded; rows
-that agree in page_id, url and html are one capture; of equal payloads with one page_id the larger capture number is
-the response; an empty table gives an empty archive and result; other columns are not carried.
+Defined results: null html is the empty payload; null url is no target; line breaks in urls are percent-coded; a null
+page_id comes back as null; rows that agree in page_id, url and html are one capture; of equal payloads with one page_id
+the larger capture number is the response; payloads are kept whole, however long; a capture whose request or metadata
+record is missing keeps nulls in their place; an empty table gives an empty archive and result; other columns are not
+carried. Each archive file is one gzip member, since Spark's text sink compresses files, not records.
 """
 
 from __future__ import annotations
@@ -129,12 +131,22 @@ def assemble(records: DataFrame) -> DataFrame:
     return response.join(parts["request"], "id", "left").join(parts["metadata"], "id", "left")
 
 
+def captures(records: DataFrame) -> DataFrame:
+    """One row per capture: page_id and digest from the response, bytes from the metadata, target from the request."""
+    each = assemble(records)
+    noted = F.regexp_extract(F.decode(F.col("metadata.block"), "UTF-8"), r"(?m)^payload-bytes: ([0-9]+)", 1)
+    asked = F.regexp_extract(F.decode(F.col("request.block"), "UTF-8"), r"^GET ([^\r\n]*) HTTP/1\.1\r", 1)
+    return each.select(
+        page_of(F.col("id")).alias("page_id"),
+        noted.try_cast("long").alias("payload_bytes"),
+        F.col("response.digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        page_of(F.col("response.refers_to")).alias("refers_to"),
+        asked.alias("target"),
+    )
+
+
 def page_of(identifier: Column) -> Column:
     """The page_id in an identifier that write_archives made."""
     return F.regexp_extract(identifier, r"^<urn:capture:(-?[0-9]+):", 1).try_cast("long")
 
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
