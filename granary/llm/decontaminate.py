@@ -8,9 +8,10 @@ that are some window's rarest or second rarest are stored. Terms are counted ove
 Words: A-Z lower-cased, runs of characters other than ASCII that is no letter or digit. An item of fewer words than a
 window is one window; an item or text without words matches nothing.
 
-Defined results: null text has no words; null doc_id and item_id are kept as they are; repeated documents are judged
-alike; repeated items name an id once; an empty benchmark hits nothing; columns of documents other than doc_id and
-text are not carried.
+Defined results: null text has no words; null doc_id is kept as it is; a null item_id is an item like others, a null
+among item_ids that comes first; repeated documents are judged alike; repeated items name an id once; texts and items
+are read whole, however long; windows of equal rarity are looked up by the term that sorts first, which the result
+doesn't show; an empty benchmark hits nothing; columns of documents other than doc_id and text are not carried.
 """
 
 from __future__ import annotations
@@ -104,8 +105,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     places = F.array_distinct(F.flatten(F.transform("exact", lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1))))
     judged = read.withColumn("exact", F.coalesce(exact, F.array().cast("array<struct<start:int,win:array<string>>>"))).select("k", "doc_id", F.size("w").cast("long").alias("n_words"), F.sort_array(places).alias("hits"), F.array_distinct(F.col("exact.win")).alias("wins"))
     judged = cut(judged)
-    named = judged.select("k", F.explode("wins").alias("win")).distinct().join(windows, "win").groupBy("k").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    out = sized(judged.join(named, "k", "left"), judged.count())
+    named = judged.select("k", F.explode("wins").alias("win")).distinct().join(windows, "win").groupBy("k").agg(F.sort_array(F.collect_set(F.struct(F.col("item_id").cast("string").alias("item_id")))).alias("items"))
+    out = sized(judged.join(named, "k", "left").withColumn("item_ids", F.col("items.item_id")), judged.count())
     return out.select(
         "doc_id",
         "n_words",
