@@ -6,10 +6,13 @@ subset-sum over a bitset of reachable fills (bounded multiplicities in binary pa
 lengths that comes closest to capacity, backtracking gives its counts, and the pattern is used as often as the counts
 allow. Each use exhausts a length, so there are at most `window` patterns, each with at most about 90 distinct
 lengths, however many documents there are. The r-th piece of a length takes the r-th slot of that length; ranks are
-counted in salted parts, so that a length which a third of all pieces have is not ranked in one task.
+counted in salted parts of some RANKED pieces, as many as a length needs, so that a length which a third of all pieces
+have is not ranked in one task. Whole windows need no plan and no rank: each is a sequence of its own, numbered after
+the planned ones by its place in the stored pieces, with gaps.
 
-Defined results: null and empty texts are the end id alone; equal rows are packed each for itself; an empty table
-gives no piece; other columns are not carried.
+Defined results: null and empty texts are the end id alone; equal rows are packed each for itself; texts are tokenized
+whole, however long; of patterns that fill a window alike the one with fewer of the short lengths is used; a null doc_id
+stays null; an empty table gives no piece; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import tokens as tk
-from granary.llm.storage import cut, sized, small_batches
+from granary.llm.storage import cut, sized
 
-WINDOW, END_ID, SALTS, CACHE = 4096, 2, 64, 1_000_000
+WINDOW, END_ID, RANKED, CACHE = 4096, 2, 100_000, 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -136,7 +139,7 @@ def tokenize(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
                     rows += [(doc, s, min(window, n + 1 - s), zlib.crc32(whole[s : s + window]), n + 1) for s in range(0, n + 1, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -193,22 +196,24 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """pieces (doc_id, start, length, ...) with sequence_id and offset. `pieces` is read more than once."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    """pieces (doc_id, start, length, ...) with sequence_id and offset; pieces are stored, and read more than once."""
+    # What is ranked: at most `window` lengths, each in parts of some RANKED pieces.
+    total = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    planned = {k: n for k, n in total.items() if k != window}
+    patterns = plan(planned, window)
+    n_planned = sum(times for _, times in patterns)
+    whole = pieces.filter(F.col("length") == window).select("*", (F.monotonically_increasing_id() + n_planned).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    if not planned:
+        return whole
+    table = slots(patterns)
+    parts = pieces.sparkSession.createDataFrame([(k, -(-n // RANKED)) for k, n in planned.items()], "length long, parts int")
+    salted = pieces.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")).cast("int")).drop("parts")
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # At most window * SALTS rows: ranks before each salted part, and the counts from which the driver plans.
+    # One row for a length and RANKED pieces: ranks before each part.
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = slots(plan(total, window))
-    key = table[:, 0] << 44 | table[:, 1]
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = sized(
-        salted.withColumn("rn", F.row_number().over(order))
-        .join(F.broadcast(before), ["length", "salt"])
-        .withColumn("rank", F.col("before") + F.col("rn") - 1)
-        .select(*pieces.columns, "rank"),
-        sum(total.values()),
-    )
+    ranked = salted.withColumn("rn", F.row_number().over(order)).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("rn") - 1).select(*pieces.columns, "rank")
+    key = table[:, 0] << 44 | table[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +222,8 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             nth = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(row[:, 3] + nth // row[:, 2]), pa.array(row[:, 4] + nth % row[:, 2] * length)], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
+    placed = sized(ranked, sum(planned.values())).mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
+    return placed.union(whole)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
