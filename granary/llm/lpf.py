@@ -3,6 +3,9 @@
 A reference shard (`repeats`) sorts the suffixes of its segments, as far as one window; with documents in order of
 doc_id, the previous and the next suffix in that order whose document is smaller give the longest earlier match of
 each position. A window is a repeat if that match is a window long. Later copies go, the first stays.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns: see `repeats.mark_repeats`,
+whose results these are.
 """
 
 from __future__ import annotations
@@ -74,7 +77,8 @@ def suffix_order(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def search(code: np.ndarray, first: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
+def search(code: np.ndarray, first: np.ndarray, docs: np.ndarray, tag: np.ndarray, size: int) -> np.ndarray:
+    """Suffixes of all segments are sorted together, so tags don't matter here."""
     counts = np.diff(first) - (size - 1)
     starts = ragged(first[:-1], counts)
     doc = np.repeat(docs, counts)

@@ -4,7 +4,8 @@ A window is `size` consecutive items (words or bytes) of one document. Its ancho
 `anchor` items in it. Equal windows have equal anchors, so all copies of a window can meet where their anchor is sent,
 and neighbouring windows mostly share one: such a run of windows is a segment, sent as a whole. Steps:
 
-1. Documents are dealt by a hash of doc_id into batches of bounded size. Each batch sends every distinct anchor once.
+1. Documents are dealt by a hash of doc_id and text into batches of bounded size, so rows that share a doc_id or have
+   none don't meet in one batch. Each batch sends every distinct anchor once.
 2. Where anchors meet, those of one document only are dropped; the rest are named to the batches that sent them.
 3. Batches send the distinct segments of shared anchors, each with its smallest doc_id, to reference shards.
 4. A shard is searched by the operator's own method, which says for each window of each segment the smallest doc_id
@@ -14,6 +15,10 @@ What a batch sends is distinct, so a passage which a third of all documents shar
 anchor with more than HOT segments (a very common phrase in many contexts) is not sent as segments but window by
 window, each with its own hash for an anchor; so one phrase never fills a shard. Everything is keyed by content
 hashes of 64 bits, nothing by the order of rows, so lost tasks can be run again in any order.
+
+Segments go with 16 bits of their anchor. Segments that differ in them share no window, so a shard is searched part by
+part, and its size doesn't multiply the work. Messages from batches to buckets never outnumber the distinct anchors of
+the batches, however many buckets there are.
 """
 
 from __future__ import annotations
@@ -34,9 +39,9 @@ HOT = 20_000
 LONGEST = 256  # windows in a segment
 NONE = np.iinfo(np.int64).max
 
-#: (items of the segments one after another, first item of each and the end, doc_id of each, window size) -> for each
-#: window, in order, the smallest doc_id of a segment that holds it
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+#: (items of the segments one after another, first item of each and the end, doc_id of each, tag of each, window size) ->
+#: for each window, in order, the smallest doc_id of a segment that holds it; segments of different tags share none
+Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -182,12 +187,14 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
     the input. kept: bytes left, or words left with one space between them.
 
     Defined results: null and empty texts have no items; a null doc_id counts as larger than any other; rows of one
-    doc_id don't remove each other's windows; an empty table gives an empty result; further columns aren't carried.
+    doc_id, or of none, don't remove each other's windows, so repeated rows have like results; there are no other ties;
+    texts are read whole, however long; an empty table gives an empty result; further columns aren't carried, whatever
+    their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_batches, n_buckets, n_shards = (max(1, -(-volume // x)) for x in (BATCH_BYTES, BUCKET_BYTES, SHARD_BYTES))
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int"))
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int"))
     size = kind.size
 
     def anchors(table: pa.Table) -> pa.Table:
@@ -220,9 +227,9 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         return pa.table([table.column("bucket"), table.column("batch"), *kept], names=["bucket", "batch", "anchors", "hot"])
 
     def segments(table: pa.Table, named: pa.Table) -> pa.Table:
-        names = ["shard", "batch", "segments", "docs", "counts", "code", "letters", "hot"]
+        names = ["shard", "batch", "segments", "docs", "counts", "tags", "code", "letters", "hot"]
         if not table.num_rows or not named.num_rows:
-            return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), *[_blobs([])] * 6], names=names)
+            return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), *[_blobs([])] * 7], names=names)
         batch = table.column("batch")[0].as_py()
         wanted, hot = _labels(named, "anchors"), _labels(named, "hot")
         found: list[tuple] = []
@@ -234,7 +241,7 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         order, begin = groups(h)
         one = order[begin]
         least = np.minimum.reduceat(d[order], begin) if len(begin) else d
-        h, n, shard, start = h[one], n[one], _deal(a[one], 2, n_shards), at[one]
+        h, n, shard, start, tag = h[one], n[one], _deal(a[one], 2, n_shards), at[one], (a[one] >> U64(48)).astype(np.uint16)
         order, begin = groups(shard)
         rows = []
         for x in np.split(order, begin[1:]) if len(begin) else []:
@@ -242,18 +249,19 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
             if kind.unit == "word":
                 letters, codes = np.unique(codes, return_inverse=True)
                 codes = codes.astype(np.uint16 if len(letters) < 1 << 16 else np.uint32)
-            rows.append((shard[x[0]], h[x], least[x], n[x].astype(np.uint16), codes, letters, np.zeros(0, U64)))
+            rows.append((shard[x[0]], h[x], least[x], n[x].astype(np.uint16), tag[x], codes, letters, np.zeros(0, U64)))
         if len(hot):
-            rows.append((batch % n_shards, h[:0], least[:0], n[:0].astype(np.uint16), np.zeros(0, np.uint8), np.zeros(0, U64), hot))
-        cols = list(zip(*rows)) if rows else [[]] * 7
+            rows.append((batch % n_shards, h[:0], least[:0], n[:0].astype(np.uint16), tag[:0], np.zeros(0, np.uint8), np.zeros(0, U64), hot))
+        cols = list(zip(*rows)) if rows else [[]] * 8
         packed = [_blobs(list(c)) for c in cols[1:]]
-        packed[3] = pa.array([pa.compress(c.tobytes(), "zstd", asbytes=True) if len(c) else b"" for c in cols[4]], pa.binary())
+        packed[4] = pa.array([pa.compress(c.tobytes(), "zstd", asbytes=True) if len(c) else b"" for c in cols[5]], pa.binary())
         return pa.table([pa.array(list(cols[0]), pa.int32()), pa.array([batch] * len(rows), pa.int32()), *packed], names=names)
 
     def searched(table: pa.Table) -> pa.Table:
         h, sizes = _joined(table.column("segments"), U64)
         d, _ = _joined(table.column("docs"), np.int64)
         n = _joined(table.column("counts"), np.uint16)[0].astype(np.int64)
+        tag = _joined(table.column("tags"), np.uint16)[0]
         codes, letters = [], []
         for row_n, c, x in zip(np.split(n, np.cumsum(sizes)[:-1]), table.column("code").to_pylist(), table.column("letters").to_pylist()):
             letter = np.frombuffer(x, U64)
@@ -271,7 +279,7 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         place = np.zeros(len(begin), np.int64)
         place[by_doc] = np.arange(len(begin))
         windows = n[one]
-        smallest = kind.search(code[tk.ragged(at[one], windows + size - 1)], np.concatenate([[0], np.cumsum(windows + size - 1)]), least[by_doc], size)
+        smallest = kind.search(code[tk.ragged(at[one], windows + size - 1)], np.concatenate([[0], np.cumsum(windows + size - 1)]), least[by_doc], tag[one], size)
         # runs of equal answers within a segment
         seg = np.repeat(np.arange(len(one)), windows)
         start = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (smallest[1:] != smallest[:-1])]) if len(seg) else seg
@@ -314,7 +322,7 @@ def mark_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
     by_batch = dealt.groupBy("batch")
     sent = by_batch.applyInArrow(anchors, "bucket int, batch int, anchors binary, info binary")
     named = sent.groupBy("bucket").applyInArrow(shared, "bucket int, batch int, anchors binary, hot binary").filter(F.octet_length("anchors") > 0)
-    refs = by_batch.cogroup(named.groupBy("batch")).applyInArrow(segments, "shard int, batch int, segments binary, docs binary, counts binary, code binary, letters binary, hot binary")
+    refs = by_batch.cogroup(named.groupBy("batch")).applyInArrow(segments, "shard int, batch int, segments binary, docs binary, counts binary, tags binary, code binary, letters binary, hot binary")
     answers = refs.groupBy("shard").applyInArrow(searched, "batch int, segments binary, runs binary, lengths binary, values binary, hot binary")
     return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(marked, schema)
 

@@ -3,8 +3,12 @@
 The windows that documents may share are dealt to reference shards (`repeats`), since sending every shard's automaton
 to every document would take work in the square of the corpus. A shard builds suffix automata of its segments, block
 by block so that memory is bounded, in order of doc_id: a state then keeps the smallest doc_id in which its strings end.
-All segments are streamed through each automaton; matching statistics of at least the window size name, through the
-state that holds the window, the smallest document it starts in.
+The block's segments are streamed through its automaton; matching statistics of at least the window size name, through
+the state that holds the window, the smallest document it starts in. Segments with like anchors are in one block; only
+where those of one tag alone outgrow a block are they streamed through several automata.
+
+Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns: see `repeats.mark_repeats`,
+whose results these are.
 """
 
 from __future__ import annotations
@@ -89,22 +93,39 @@ class SuffixAutomaton:
         return out
 
 
-def search(code: np.ndarray, first: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
+def _blocks(tag: np.ndarray, sizes: np.ndarray) -> list[list[np.ndarray]]:
+    """Segments in parts of whole tags, of about BLOCK items each; a larger tag is a part of several blocks."""
+    order = np.argsort(tag, kind="stable")
+    begin = np.flatnonzero(np.r_[True, tag[order][1:] != tag[order][:-1]]) if len(order) else []
+    parts, held, filled = [], [], 0
+    for group in np.split(order, begin[1:]) if len(order) else []:
+        size = int(sizes[group].sum())
+        if size > BLOCK:
+            ends = np.cumsum(sizes[group]) // BLOCK
+            parts.append([group[ends == k] for k in np.unique(ends)])
+            continue
+        if filled + size > BLOCK and held:
+            parts.append([np.concatenate(held)])
+            held, filled = [], 0
+        held.append(group)
+        filled += size
+    return [*parts, [np.concatenate(held)]] if held else parts
+
+
+def search(code: np.ndarray, first: np.ndarray, docs: np.ndarray, tag: np.ndarray, size: int) -> np.ndarray:
     """Segments come in ascending order of docs."""
-    letters, numbers = np.unique(code, return_inverse=True)
-    flat, at = numbers.tolist(), first.tolist()
-    best = np.full(len(code) - (size - 1) * len(docs), NONE, np.int64)
-    i = 0
-    while i < len(docs):
-        to = max(i + 1, int(np.searchsorted(first, first[i] + BLOCK, "right")) - 1)
-        automaton = SuffixAutomaton()
-        for k in range(i, to):
-            automaton.add(flat[at[k] : at[k + 1]], int(docs[k]))
-        found: list[int] = []
-        for k in range(len(docs)):
-            found += automaton.first_owners(flat[at[k] : at[k + 1]], size)
-        best = np.minimum(best, np.array(found, np.int64))
-        i = to
+    numbers = np.unique(code, return_inverse=True)[1].tolist()
+    at, best = first.tolist(), np.full(len(code) - (size - 1) * len(docs), NONE, np.int64)
+    windows = first - (size - 1) * np.arange(len(first))
+    for part in _blocks(tag, np.diff(first)):
+        streamed = np.sort(np.concatenate(part)).tolist()
+        for block in part:
+            automaton = SuffixAutomaton()
+            for k in np.sort(block).tolist():
+                automaton.add(numbers[at[k] : at[k + 1]], int(docs[k]))
+            for k in streamed:
+                mine = best[windows[k] : windows[k + 1]]
+                np.minimum(mine, automaton.first_owners(numbers[at[k] : at[k + 1]], size), out=mine)
     return best
 
 
