@@ -11,16 +11,19 @@ heavier than a share of the documents are the frequent class, of which there can
   and the combinations of K neighbours are indexed.
 
 Classes that share a key are paired with a few pivots of it, the one with the smallest doc_id first. What these links
-leave apart is compared pairwise, in blocks, unless size or parity bitmaps (a bound of the overlap that is never too low) rule it out. Every pair is
-verified on the whole sets. Links are joined into components; copies are never expanded into pairs.
+leave apart is compared pairwise, in tiles of like sizes, unless size or parity bitmaps (a bound of the overlap that is
+never too low) rule it out; pairs within a component found so far are not made. Every pair is verified on the whole sets.
+Links are joined into components; copies are never expanded into pairs.
 
 Defined results: null, empty and wordless texts have the empty set and link with nothing; a text with fewer words than
-a shingle is one shingle; a null doc_id counts as the largest; repeated rows are in one component; an empty table gives
-an empty result; other columns are not carried.
+a shingle is one shingle; texts are read whole, however long; a null doc_id counts as the largest, and a component of
+such rows alone has a null component_id; repeated rows are in one component; ties cannot arise, as components take the
+smallest doc_id and pivots decide about work only; an empty table gives an empty result; other columns are not carried.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +34,14 @@ from pyspark.sql import functions as F
 
 from granary.llm import tokens as tk
 from granary.llm.components import components
-from granary.llm.storage import cut, small_batches
+from granary.llm.storage import cut
 
 U64 = np.uint64
 LAST = np.iinfo(np.int64).max
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 FLUSH = 2_000_000  # shingles counted together
+MOST_HEAVY = 1_000_000
 BROADCAST_ROWS = 100_000
 
 
@@ -48,7 +52,7 @@ class Join:
     combine: int = 2
     heavy_share: int = 10_000  # a shingle is frequent if it occurs once in so many documents or more
     common_share: int = 1000  # so is a word common
-    block: int = 1024
+    block: int = 256
     pivots: int = 3
 
     def prefix(self, n: int) -> int:
@@ -97,7 +101,8 @@ def heavy_hitters(docs: DataFrame, how: Join) -> Heavy:
     """Frequent shingles and common words. There are at most heavy_share (common_share) times as many as a mean text has.
 
     Each task forwards what it sees twice or more, which can only understate a count; the order of shingles decides
-    about work, never about results.
+    about work, never about results. So the least count that makes a shingle frequent is doubled until no more than
+    MOST_HEAVY of either kind are left, which is what tasks are sent (16 bytes each).
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +133,11 @@ def heavy_hitters(docs: DataFrame, how: Join) -> Heavy:
 
     n_docs = docs.count()
     least = F.when(F.col("kind") == 0, max(4, n_docs // how.heavy_share)).otherwise(max(4, n_docs // how.common_share))
-    found = docs.select("text").mapInArrow(count, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+    counted = cut(docs.select("text").mapInArrow(count, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    # How many there are by the power of two of their count: some 128 rows.
+    powers = counted.groupBy("kind", F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("m")).collect()
+    floor = {kind: next(p for p in range(65) if sum(r["m"] for r in powers if r["kind"] == kind and r["power"] >= p) <= MOST_HEAVY) for kind in (0, 1)}
+    found = counted.filter(F.col("n") >= F.when(F.col("kind") == 0, 2 ** floor[0]).otherwise(2 ** floor[1])).toPandas()
     tokens, n, kind = found["token"].to_numpy(np.int64).view(U64), found["n"].to_numpy(np.int64), found["kind"].to_numpy()
     order = np.argsort(tokens[kind == 0])
     return Heavy(tokens[kind == 0][order], n[kind == 0][order], np.sort(tokens[kind == 1]))
@@ -263,29 +272,59 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -
     return common.filter(100 * F.col("common") >= how.percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def cells(classes: DataFrame, how: Join) -> DataFrame:
+    """(node, cell): sets that may link lie in one cell of sizes or in neighbouring ones."""
+    if how.percent >= 100:
+        return classes.select("node", F.col("n").alias("cell"))
+    width = math.log(100 / how.percent) * (1 + 1e-9)  # a little wide, so rounding parts no pair
+    return classes.select("node", F.floor(F.log(F.col("n").cast("double")) / width).cast("long").alias("cell"))
+
+
 def apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, how: Join) -> DataFrame:
-    """Pairs (a, b) of nodes that share a key, are in different components so far, and may link."""
-    rooted = cut(shared.select("key", "node").join(roots.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high").select("key", F.ceil(F.col("size") / how.block).alias("blocks"))
-    member = rooted.join(mixed, "key").join(classes.select("node", "n", "bits"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Block pair (i, j) of a key is a unit of work; a member goes to all pairs with its block.
-    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    units = spread.select(unit.alias("unit"), "node", "root", "n", "bits").repartition("unit").sortWithinPartitions("unit")
+    """Pairs (a, b) of nodes that share a key, are in different components so far, and may link.
+
+    A key's members meet in units of like size: each in its own cell and, as a visitor, in the next one. In a unit the
+    component with most members is its core. Only pairs with a member outside the core are open, so the core is dealt
+    over tiles and the others go to all of them: rows grow with core times others over `block`, not with their square.
+    """
+    rooted = shared.select("key", "node").join(roots.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = cut(rooted)
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    held = rooted.join(mixed, "key").join(cells(classes, how), "node")
+    visit = F.explode(F.array(F.struct(F.col("cell").alias("at"), F.lit(False).alias("visitor")), F.struct((F.col("cell") + 1).alias("at"), F.lit(True).alias("visitor"))))
+    member = cut(held.select("key", "node", "root", visit.alias("v")).select(F.xxhash64("key", "v.at").alias("unit"), "node", "root", "v.visitor"))
+    by_root = member.groupBy("unit", "root").agg(F.count("*").alias("size"), F.count_if(~F.col("visitor")).alias("own"))
+    units = by_root.groupBy("unit").agg(F.max(F.struct("size", "root")).alias("core"), F.sum("size").alias("size"), F.sum("own").alias("own"), F.count("*").alias("roots")).filter("roots > 1 and own > 0")
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / how.block)).cast("int")
+    units = units.select("unit", F.col("core.root").alias("core"), tiles(F.col("core.size")).alias("core_tiles"), tiles(F.col("size") - F.col("core.size")).alias("tiles"))
+    placed = member.join(units, "unit").withColumn("inner", F.col("root") == F.col("core"))
+    # Tiles of a core part and a part of the others, and of two parts of the others. Within a tile members of unlike
+    # sides are compared, and those of side 2, a part of the others by itself, among themselves.
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("core_tiles")).otherwise(F.col("tiles"))).cast("int")
+    placed = placed.withColumn("mine", own)
+    mine = F.col("mine")
+    tile = lambda kind, x, y, side: F.struct(F.xxhash64("unit", F.lit(kind), x, y).alias("tile"), side.cast("int").alias("side"))
+    of_core = F.transform(count(F.col("tiles")), lambda o: tile("core", mine, o, F.lit(0)))
+    with_core = F.transform(count(F.col("core_tiles")), lambda c: tile("core", c, mine, F.lit(1)))
+    with_others = F.transform(count(F.col("tiles")), lambda o: tile("others", F.least(mine, o), F.greatest(mine, o), F.when(mine == o, 2).otherwise((mine > o).cast("int"))))
+    spread = placed.select("node", "root", "visitor", F.explode(F.when(F.col("inner"), of_core).otherwise(F.concat(with_core, with_others))).alias("t"))
+    dealt = spread.join(classes.select("node", "n", "bits"), "node").select("t.tile", "t.side", "node", "root", "n", "bits", "visitor").repartition("tile").sortWithinPartitions("tile")
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
-        unit, node, root, n = (table.column(x).to_numpy() for x in ("unit", "node", "root", "n"))
+        tile, node, root, n = (table.column(x).to_numpy() for x in ("tile", "node", "root", "n"))
+        visitor, side = table.column("visitor").to_numpy(), table.column("side").to_numpy()
         bits = table.column("bits").to_pylist()
         narrow = folded(bits, 512)
-        last = np.searchsorted(unit, unit, "right")
+        last = np.searchsorted(tile, tile, "right")
         out = []
-        at, ahead = 0, last - np.arange(len(unit)) - 1
+        at, ahead = 0, last - np.arange(len(tile)) - 1
         ends = np.cumsum(ahead)
-        while at < len(unit):
+        while at < len(tile):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, "right")))
             i = np.repeat(np.arange(at, to), ahead[at:to])
             j = tk.ragged(np.arange(at, to) + 1, ahead[at:to])
-            open_ = root[i] != root[j]
+            open_ = (root[i] != root[j]) & ~(visitor[i] & visitor[j]) & ((side[i] != side[j]) | (side[i] == 2))
             i, j = i[open_], j[open_]
             keep = may_link(n, bits, narrow, i, j, how.percent)
             out.append(np.stack([np.minimum(node[i[keep]], node[j[keep]]), np.maximum(node[i[keep]], node[j[keep]])], 1))
@@ -298,8 +337,8 @@ def apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, how: Join) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = batch.column(0).to_numpy()
-            cut_at = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
+            tile = batch.column(0).to_numpy()
+            cut_at = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on
             if cut_at:
                 yield pairs_of(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
                 held = []
@@ -307,12 +346,12 @@ def apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, how: Join) ->
         if held:
             yield pairs_of(pa.Table.from_batches(held))
 
-    return units.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links, itself included) of every row of docs."""
-    docs = small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(index(docs, heavy_hitters(docs, how), how))
     classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     postings = classes.select("node", "doc", F.explode("keys").alias("key"))

@@ -76,3 +76,43 @@ def test_rows_are_judged_by_doc_id_and_text(spark):
     want = [(1, a), (5, b), (3, c), (3, d), (None, "alone " + b[::-1]), (None, " "), (None, " "), (None, None)]
     assert sorted(((r.doc_id, r.text) for r in got if r.doc_id != 9), key=repr) == sorted(want, key=repr)
     assert [r.n_chars for r in got if r.text and r.text.startswith("alone")] == [10]
+
+
+def test_tiles_find_every_pair(spark, monkeypatch):
+    """Tiny tiles, no pivots that help, and unlike sizes: the pairwise step alone has to find what is left."""
+    from granary.llm import ngram_join
+
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(70):
+        words = list(base) if i % 3 else [f"z{j}" for j in range(60)] + base[:30]
+        for k in rng.sample(range(len(words)), rng.randrange(1, 5)):
+            words[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(words + [f"t{i}"] * rng.randrange(3))))
+    how = ngram_join.Join(size=1, percent=90, block=3, pivots=1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join_components(docs, how).collect()}
+    sets, root = {i: shingles(t, 1) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 100 * len(a & b) >= 90 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in root}
+    assert len(set(got.values())) > 5
+
+
+def test_rows_without_a_doc_id(spark):
+    from granary.llm import ngram_join
+
+    text = " ".join(f"a{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, text), (4, text), (None, "alone here it is"), (None, None), (2, "")], "doc_id long, text string").selectExpr("*", "1 as n", "'x' as node")
+    got = sorted(map(tuple, ngram_join.join_components(docs).collect()), key=str)
+    assert got == sorted([(None, 38, 4), (4, 38, 4), (None, 2, None), (None, 0, None), (2, 0, 2)], key=str)
