@@ -88,7 +88,12 @@ def test_automaton_in_blocks(monkeypatch):
     want = [seen[tuple(s[k : k + 4])] for s in segments for k in range(len(s) - 3)]
     for block in (10**6, 50):
         monkeypatch.setattr(substring, "BLOCK", block)
-        assert substring.search(np.concatenate(segments), first, owners, 4).tolist() == want
+        assert substring.search(np.concatenate(segments), first, owners, np.zeros(60, np.uint16), 4).tolist() == want
+        # segments of tag 1 have letters of their own
+        tag = np.arange(60, dtype=np.uint16) % 2
+        parted = [s + 10 * t for s, t in zip(segments, tag)]
+        own = [min(o for p, o in zip(parted, owners) for j in range(len(p) - 3) if tuple(p[j : j + 4]) == tuple(s[k : k + 4])) for s in parted for k in range(len(s) - 3)]
+        assert substring.search(np.concatenate(parted), first, owners, tag, 4).tolist() == own
 
 
 def test_ngram_join(docs, spark):
