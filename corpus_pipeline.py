@@ -3,8 +3,9 @@
 Defined results of the stages: a null text has no words, which the quality rules reject; rows that repeat a doc_id and
 its text are one document and go or stay together; the texts of one doc_id are judged each for itself, and of those in
 one group one stays; documents without a doc_id count as the last ones of their group, each text for itself, and exact
-copies among them leave one row, unless they have no word; an empty table stays empty; other columns are kept as they
-are, whatever their names.
+copies among them leave one row, unless they have no word; of several texts of one doc_id in one group the one that
+stays is the one whose hash is least; texts are read whole, however long; an empty table stays empty; other columns are
+kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ from pyspark.sql import functions as F
 
 from granary.llm import decontaminate, ngram_join, packing, pii, quality
 from granary.llm.queries import tokenizer_path
-from granary.llm.storage import cut, shared_dir
-from granary.llm.storage import sized as by_rows
+from granary.llm.storage import cut, remove, shared_dir, volume
+from granary.llm.storage import sized as in_parts
 from granary.session import table
 
 ORACLE_SQL = None
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """Texts in files of some thousands of documents."""
-    return by_rows(df, rows, 8000)
+def sized(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """What is left of docs, in files of some thousands of documents or 16 MB of text."""
+    return in_parts(df, *volume(docs), each_rows=8000)
 
 
 #: near copies share four fifths of their five-word shingles; op6's own rule (three words, nine tenths) binds only op6
@@ -46,7 +47,7 @@ def back(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return sized(back(quality.judge(aside(docs)).filter("kept"), docs), docs.count())
+    return sized(back(quality.judge(aside(docs)).filter("kept"), docs), docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     exact = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
     own = F.struct(*held.columns)
     once = rest.filter(exact).groupBy("_key").agg(F.min_by(own, F.to_json(own)).alias("_row")).select("_row.*")
-    return sized(back(rest.filter(~exact).select(*held.columns).union(once), docs), docs.count())
+    return sized(back(rest.filter(~exact).select(*held.columns).union(once), docs), docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     keyed = aside(docs).withColumn("_key", F.xxhash64("doc_id", "text"))
     judged = decontaminate.decontaminate(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     hit = judged.filter("contaminated").select(F.col("doc_id").alias("_key"))
-    return sized(back(keyed.join(hit, "_key", "left_anti"), docs), docs.count())
+    return sized(back(keyed.join(hit, "_key", "left_anti"), docs), docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     held = aside(docs)
     found = pii.annotate(held, pii.fit(held)).withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
     chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return sized(back(found.withColumn("n_chars", chars), docs), docs.count())
+    return sized(back(found.withColumn("n_chars", chars), docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -102,9 +103,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's result is written to the shared folder and read again."""
-    root, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's result is written to the shared folder, read again, and removed once used."""
+    root, docs, used = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        if used:
+            remove(spark, used)
+        used = f"{root}/{name}"
+        docs = spark.read.parquet(used)
     return docs
