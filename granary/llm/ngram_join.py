@@ -296,7 +296,9 @@ def apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, how: Join) ->
     by_root = member.groupBy("unit", "root").agg(F.count("*").alias("size"), F.count_if(~F.col("visitor")).alias("own"))
     units = by_root.groupBy("unit").agg(F.max(F.struct("size", "root")).alias("core"), F.sum("size").alias("size"), F.sum("own").alias("own"), F.count("*").alias("roots")).filter("roots > 1 and own > 0")
     tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / how.block)).cast("int")
-    units = units.select("unit", F.col("core.root").alias("core"), tiles(F.col("core.size")).alias("core_tiles"), tiles(F.col("size") - F.col("core.size")).alias("tiles"))
+    units = cut(units.select("unit", F.col("core.root").alias("core"), tiles(F.col("core.size")).alias("core_tiles"), tiles(F.col("size") - F.col("core.size")).alias("tiles")))
+    if units.count() <= BROADCAST_ROWS:
+        units = F.broadcast(units)
     placed = member.join(units, "unit").withColumn("inner", F.col("root") == F.col("core"))
     # Tiles of a core part and a part of the others, and of two parts of the others. Within a tile members of unlike
     # sides are compared, and those of side 2, a part of the others by itself, among themselves.
