@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that are no search terms, and patterns of questions out of scope.
+# Words that are no search terms, patterns of questions out of scope, and of effective dates.
 STOP_WORDS = ("a", "an", "and", "are", "be", "by", "can", "does", "for", "how", "in", "is", "it", "must", "of", "on", "or", "the", "to", "what", "when", "which", "with")
 OUT_OF_SCOPE = (
     r"\b(?:tax deduction|cryptocurrency|crypto)\b",
@@ -33,6 +33,13 @@ def query_terms(question: Column) -> Column:
     return F.array_distinct(F.filter(terms(question), lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS)))
 
 
+def search_terms(question: Column) -> Column:
+    """query_terms; a question without any that is a single word stands for itself, one of several words has none."""
+    raw = F.lower(F.trim(F.coalesce(question, F.lit(""))))
+    alone = F.when(raw.rlike("^[a-z0-9]+$"), F.array(raw)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(query_terms(question)) > 0, query_terms(question)).otherwise(alone)
+
+
 def out_of_scope(question: Column) -> Column:
     found = F.lit(False)
     for pattern in OUT_OF_SCOPE:
@@ -47,10 +54,9 @@ def effective_date(text: Column) -> Column:
     return F.coalesce(F.try_to_date(plain, "MMM d yyyy"), F.try_to_date(plain, "MMMM d yyyy"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays in double precision; null if either is zero or null."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def unreadable_date(text: Column) -> Column:
+    """Whether text has an `eff. Month day, year` whose month has no such name, or whose day doesn't exist."""
+    return F.coalesce(text.rlike(EFFECTIVE), F.lit(False)) & effective_date(text).isNull()
 
 
 def effective_evidence(text: Column) -> Column:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.sections import audit
+
 # How labels and the marker are written.
 MARKER = r"(?U)\bSupplementary Material\s*:\s*-+"
 TOP = r"(?sU)^\(([a-z])\)\s+(.+)$"
@@ -117,27 +119,24 @@ def rule_sections(elements: DataFrame, key: str, number: str | None = None, sele
     )
 
 
-def history(elements: DataFrame, key: str) -> DataFrame:
-    """(key, element_index, source_text, notices): the last footnote table of each document."""
+def history(elements: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, element_index, source_text, notices, *carry): the last footnote table of each document."""
     notes = _text_elements(elements).filter("footnote")
-    last = notes.groupBy(key).agg(F.max(F.struct("element_index", F.col("text").alias("source_text"), F.col("refs").alias("notices"))).alias("h"))
+    last = notes.groupBy(key).agg(F.max(F.struct("element_index", F.col("text").alias("source_text"), F.col("refs").alias("notices"), *carry)).alias("h"))
     return last.select(key, "h.*")
 
 
 def rule_audit(elements: DataFrame, sections: DataFrame, key: str) -> DataFrame:
-    """(key, source_chars, covered_chars, ratio, exact, missing): the text that sections and history hold, marker aside."""
+    """The audit of what sections and history hold of the elements' text, marker aside."""
     source = _text_elements(elements).filter(F.col("footnote") | ~F.col("text").rlike(MARKER)).select(key, "element_index", F.length("text").alias("chars"))
     places = sections.select(key, F.explode("locators.element_index").alias("element_index")).unionByName(history(elements, key).select(key, "element_index"))
-    covered = places.groupBy(key, "element_index").agg(F.count("*").alias("times"))
-    both = source.join(covered, [key, "element_index"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    total, got = F.sum("chars"), F.sum(F.col("chars") * F.col("times"))
-    return both.groupBy(key).agg(
-        total.alias("source_chars"),
-        got.alias("covered_chars"),
-        F.coalesce(F.try_divide(got, total), F.lit(0.0)).alias("ratio"),
-        F.bool_and(F.col("times") == 1).alias("exact"),
-        F.sort_array(F.collect_list(F.when(F.col("times") == 0, F.col("element_index")))).alias("missing"),
-    )
+    return audit(source, places, key)
+
+
+def excluded(elements: DataFrame, key: str) -> DataFrame:
+    """(key, element_index, text, reason): text that is no part of a section on purpose."""
+    marker = _text_elements(elements).filter(~F.col("footnote") & F.col("text").rlike(MARKER))
+    return marker.select(key, "element_index", "text", F.lit("marker of supplementary material").alias("reason"))
 
 
 def content_hash(documents: DataFrame, sections: DataFrame, key: str) -> DataFrame:

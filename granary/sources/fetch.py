@@ -8,6 +8,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from typing import NamedTuple
 from urllib.parse import urlsplit
 
@@ -15,9 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.sources import snapshots
+
 MIN_BYTES, ATTEMPTS, CONNECTIONS, TIMEOUT = 1000, 3, 2, 30
 LONGEST_WAIT = 60.0
-SNAPSHOT = "source_id string, status string, error string, http_status int, final_url string, content_type string, content binary, content_sha256 string, etag string, last_modified string"
+AGENT_VERSION = "granary-fetch-1"
+SNAPSHOT = (
+    "source_id string, requested_url string, retrieved_at timestamp, status string, error string, http_status int, final_url string, content_type string, "
+    "content_length_bytes long, content binary, content_sha256 string, etag string, last_modified string, fetcher_version string"
+)
 
 
 class Response(NamedTuple):
@@ -80,7 +87,11 @@ def checked(r: Response, hosts: list[str], min_bytes: int = MIN_BYTES) -> Respon
     return r
 
 
-def fetch(sources: DataFrame, hosts: list[str], get: Callable[[str], Response], latest: DataFrame | None = None, connections: int = CONNECTIONS, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def utc_now() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
+def fetch(sources: DataFrame, hosts: list[str], get: Callable[[str], Response], latest: DataFrame | None = None, connections: int = CONNECTIONS, sleep: Callable[[float], None] = time.sleep, now: Callable[[], str] = utc_now) -> DataFrame:
     """One row per source (source_id, url): status saved, unchanged or failed with its error, and what was fetched.
 
     latest (source_id, content_sha256) has the newest snapshot of each source; equal content is unchanged and carries
@@ -94,11 +105,11 @@ def fetch(sources: DataFrame, hosts: list[str], get: Callable[[str], Response],
             for key, url in zip(batch["source_id"], batch["url"]):
                 try:
                     r = checked(get_with_retry(get, url, sleep=sleep), hosts)
-                    row = (key, "saved", None, r.status, r.url, r.headers["content-type"], r.body, hashlib.sha256(r.body).hexdigest(), r.headers.get("etag"), r.headers.get("last-modified"))
+                    held = ("saved", None, r.status, r.url, r.headers["content-type"], len(r.body), r.body, hashlib.sha256(r.body).hexdigest(), r.headers.get("etag"), r.headers.get("last-modified"))
                 except (HttpError, OSError, ValueError) as e:
-                    row = (key, "failed", str(e), None, None, None, None, None, None, None)
-                out = pd.DataFrame([row], columns=names)
-                yield out.astype({"http_status": "Int32"})
+                    held = ("failed", str(e), *[None] * 8)
+                out = pd.DataFrame([(key, url, pd.Timestamp(now()), *held, AGENT_VERSION)], columns=names)
+                yield out.astype({"http_status": "Int32", "content_length_bytes": "Int64"})
 
     rows = sources.select("source_id", "url").repartition(connections, "source_id").mapInPandas(run, SNAPSHOT)
     if latest is None:
@@ -110,6 +121,38 @@ def fetch(sources: DataFrame, hosts: list[str], get: Callable[[str], Response],
     return marked.drop("_known")
 
 
+def judged(responses: DataFrame, hosts: list[str], min_bytes: int = MIN_BYTES) -> DataFrame:
+    """Responses that are already there (source_id, final_url, content_type, body) with status and error, as `checked` has it."""
+    part = lambda x: F.coalesce(F.try_parse_url("final_url", F.lit(x)), F.lit(""))
+    kind = F.lower(F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    size = F.coalesce(F.octet_length("body"), F.lit(0))
+    checks = [
+        ((part("PROTOCOL") != "https") | ~F.lower(part("HOST")).isin(*[h.lower() for h in hosts]), F.lit("redirected to a host that is not allowed")),
+        (kind != "text/html", F.lit("content is not HTML")),
+        (size < min_bytes, F.concat(F.lit("content has "), size.cast("string"), F.lit(f" bytes, fewer than {min_bytes}"))),
+    ]
+    error = F.coalesce(*(F.when(bad, message) for bad, message in checks))
+    return responses.withColumn("error", error).withColumn("status", F.when(F.col("error").isNull(), "saved").otherwise("failed"))
+
+
 def outcome(rows: DataFrame) -> DataFrame:
     """(status, n): how many sources were saved, unchanged or failed."""
     return rows.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def fetch_all(sources: DataFrame, hosts: list[str], get: Callable[[str], Response], path: str, **how) -> dict[str, int]:
+    """Fetches sources (source_id, url and what else metadata keep), stores snapshots under path, and a summary beside them.
+
+    The rows are stored as fetched before anything is derived from them, so nothing is fetched twice.
+    """
+    spark = sources.sparkSession
+    known = snapshots.stored(spark, path)
+    newest = snapshots.latest_metadata(known.select("source_id", "html_file", "content_sha256"), name="html_file")
+    run = f"{path}/_runs/{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
+    fetch(sources, hosts, get, newest, **how).write.parquet(f"{run}/rows")
+    rows = spark.read.parquet(f"{run}/rows")
+    kept = sources.select("source_id", "rule_number", "title", "source_type")
+    snapshots.write_snapshots(rows.join(kept, "source_id", "left"), path)
+    rows.drop("content").coalesce(1).write.json(f"{run}/sources")
+    outcome(rows).coalesce(1).write.json(f"{run}/fetch_summary")
+    return {r["status"]: r["n"] for r in outcome(rows).collect()}

@@ -66,28 +66,35 @@ def _text(node: list) -> str:
     return " ".join(" ".join(out).split())
 
 
-def sectional_elements(html: str, body: tuple[str, ...] = ("main", "article")) -> list[tuple[int, str, str]] | None:
-    """(index, tag, text) of headings, paragraphs and items of the first body element found; None if there is none."""
+def sectional_elements(html: str | None, body: tuple[str, ...] = ("main", "article")) -> tuple[str, list[tuple[int, str, str]]] | None:
+    """The body's name, and (index, tag, text) of headings, paragraphs and items of the first body found; None if there is none."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     for name in body:
         for node in _walk(tree.root):
             if node[0] == name or name.startswith("#") and node[1].get("id") == name[1:]:
-                return [(i, x[0], _text(x)) for i, x in enumerate(n for n in _walk(node) if n[0] in SECTIONAL)]
+                return name, [(i, x[0], _text(x)) for i, x in enumerate(n for n in _walk(node) if n[0] in SECTIONAL)]
     return None
 
 
 def elements(pages: DataFrame, key: str, html: str = "html", body: tuple[str, ...] = ("#block-body", "main", "article")) -> DataFrame:
-    """(key, element_index, tag, text) of each page's sectional elements with text; pages without a body give no row."""
+    """(key, element_index, tag, text, body, error) of each page's sectional elements with text.
+
+    A page without a body, or whose body has no such text, gives one row of nulls with an error and empty text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, *e) for k, h in zip(batch.iloc[:, 0], batch.iloc[:, 1]) for e in sectional_elements(h, body) or [] if e[2]]
-            yield pd.DataFrame(rows, columns=[key, "element_index", "tag", "text"])
+            rows = []
+            for k, h in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
+                name, found = sectional_elements(h, body) or (None, [])
+                held = [(k, *e, name, None) for e in found if e[2]]
+                rows += held or [(k, None, None, "", name, "no body was found" if name is None else "the body is empty")]
+            yield pd.DataFrame(rows, columns=[key, "element_index", "tag", "text", "body", "error"]).astype({"element_index": "Int32"})
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, F.col(html)).mapInPandas(run, f"{key} {kind}, element_index int, tag string, text string")
+    return pages.select(key, F.col(html)).mapInPandas(run, f"{key} {kind}, element_index int, tag string, text string, body string, error string")
 
 
 def _fits(node: list, simple: str) -> bool:
