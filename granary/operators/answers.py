@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ABSTENTION = "Insufficient evidence in the indexed sources."
-PREAMBLE = "The indexed evidence relevant to this question is below. Review the cited text before relying on it.\n\n"
+ABSTENTION = "No stored passage answers this question."
+PREAMBLE = "These stored passages match the question best; read them in full where it matters.\n\n"
 EXCERPT = 500
 
 

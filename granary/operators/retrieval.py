@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.stem import stemmed
-from granary.functions.text import cosine, query_terms, terms
+from granary.functions.text import search_terms, terms
 
 CANDIDATES, RRF_K = 15, 60
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has few rows; else Spark joins by shuffling."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def latest(documents: DataFrame, source: str, at: str, key: str) -> DataFrame:
@@ -26,47 +24,143 @@ def latest(documents: DataFrame, source: str, at: str, key: str) -> DataFrame:
     return newest.select(source, *(F.col(f"_n.{c}").alias(c) for c in (at, key, *rest)))
 
 
-def postings(chunks: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+def newest_only(chunks: DataFrame, documents: DataFrame, document: str, source: str, at: str) -> DataFrame:
+    """chunks of each source's newest document; documents (document, source, at)."""
+    newest = latest(documents.select(source, at, document), source, at, document)
+    return chunks.join(newest.select(document), document, "left_semi")
+
+
+def postings(chunks: DataFrame, key: str, text: str | Column, only: DataFrame | None = None) -> DataFrame:
     """(key, term, tf) of each chunk's terms, of those in `only` (term) if given."""
-    exploded = chunks.select(key, F.explode(terms(F.col(text))).alias("term"))
+    exploded = chunks.select(key, F.explode(terms(F.col(text) if isinstance(text, str) else text)).alias("term"))
     if only is not None:
-        exploded = exploded.join(small(only), "term", "left_semi")
+        exploded = exploded.join(only, "term", "left_semi")
     return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def positions(chunks: DataFrame, key: str, text: str, section_path: str | None = None) -> DataFrame:
+    """(key, stem, positions) of section path and text: English stems without stop words, places counted over all words."""
+    whole = F.concat_ws(" ", F.coalesce(section_path, F.lit("")), text) if section_path else F.col(text)
+    each = chunks.select(key, F.posexplode(terms(whole)).alias("at", "term"))
+    stems = stemmed(each.select("term").distinct())
+    return each.join(stems, "term").groupBy(key, "stem").agg(F.sort_array(F.collect_list(F.col("at") + 1)).alias("positions"))
+
+
 def stemmed_postings(index: DataFrame, key: str) -> DataFrame:
     """(key, term, tf) with stems for terms and without stop words; each distinct term is stemmed once."""
     stems = stemmed(index.select("term").distinct())
     return index.join(stems, "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
-def stemmed_search(questions: DataFrame, query: str, question: str, index: DataFrame, key: str, k: int = CANDIDATES) -> DataFrame:
-    """keyword_search over stemmed postings: a question's terms are stemmed alike, each stem counts once."""
-    asked = questions.select(query, F.explode(query_terms(F.col(question))).alias("term"))
-    asked = asked.join(stemmed(asked.select("term").distinct()), "term").select(query, F.col("stem").alias("term")).distinct()
-    hits = index.join(small(asked), "term").groupBy(query, key).agg(F.sum("tf").alias("n"))
+BUCKETS = 64
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Postings (key, term, tf) stored by a hash of the term, in order of terms: a search reads the buckets it needs."""
+    placed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    placed.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def asked_terms(questions: DataFrame, query: str, question: str, english: bool = False) -> DataFrame:
+    """Distinct (query, term) of questions, stemmed like an English index if need be."""
+    asked = questions.select(query, F.explode(search_terms(F.col(question))).alias("term"))
+    if not english:
+        return asked.distinct()
+    return asked.join(stemmed(asked.select("term").distinct()), "term").select(query, F.col("stem").alias("term")).distinct()
+
+
+def search_index(asked: DataFrame, query: str, index: DataFrame, key: str, k: int = CANDIDATES) -> DataFrame:
+    """(query, key, score, rank): any asked term matches, each match scores 0.1. A stored index is read by bucket."""
+    on = ["term"]
+    if "bucket" in index.columns:
+        asked, on = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")), ["bucket", "term"]
+    hits = index.join(asked, on).groupBy(query, key).agg(F.sum("tf").alias("n"))
     return top(hits.select(query, key, (F.col("n") * 0.1).alias("score")), query, key, k)
 
 
+def stemmed_search(questions: DataFrame, query: str, question: str, index: DataFrame, key: str, k: int = CANDIDATES) -> DataFrame:
+    """search_index over stemmed postings: a question's terms are stemmed alike, each stem counts once."""
+    return search_index(asked_terms(questions, query, question, english=True), query, index, key, k)
+
+
 def top(scored: DataFrame, query: str, key: str, k: int, best: str = "score") -> DataFrame:
     """The k best rows of each query with their rank, ties by key."""
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc_nulls_last(best), key))
     return scored.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-def keyword_search(questions: DataFrame, query: str, question: str, chunks: DataFrame, key: str, text: str, k: int = CANDIDATES) -> DataFrame:
-    """(query, key, score, rank): any search term matches, each match scores 0.1."""
-    asked = questions.select(query, F.explode(query_terms(F.col(question))).alias("term"))
-    index = postings(chunks, key, text, asked.select("term").distinct())
-    hits = index.join(small(asked), "term").groupBy(query, key).agg(F.sum("tf").alias("n"))
-    return top(hits.select(query, key, (F.col("n") * 0.1).alias("score")), query, key, k)
+def keyword_search(questions: DataFrame, query: str, question: str, chunks: DataFrame, key: str, text: str, k: int = CANDIDATES, section_path: str | None = None, english: bool = False) -> DataFrame:
+    """(query, key, score, rank): any search term matches, each match scores 0.1.
+
+    With section_path its words are searched too; with english both sides are stemmed and stop words left out.
+    """
+    asked = asked_terms(questions, query, question, english)
+    whole = F.concat_ws(" ", section_path, text) if section_path else F.col(text)
+    index = postings(chunks, key, whole, None if english else asked.select("term").distinct())
+    return search_index(asked, query, stemmed_postings(index, key) if english else index, key, k)
 
 
 def vector_search(questions: DataFrame, query: str, chunks: DataFrame, key: str, vector: str = "embedding", k: int = CANDIDATES) -> DataFrame:
-    """(query, key, score, rank) by cosine. questions (query, vector) is the stated query set, scored against all chunks."""
-    asked = questions.select(query, F.col(vector).alias("_q")).filter(F.col("_q").isNotNull())
-    known = chunks.select(key, F.col(vector).alias("_v")).filter(F.col("_v").isNotNull())
-    return top(known.join(small(asked), F.lit(True)).select(query, key, cosine(F.col("_q"), F.col("_v")).alias("score")), query, key, k)
+    """(query, key, score, rank) by cosine. questions (query, vector) is the stated query set, scored against all chunks.
+
+    The questions' matrix goes to the tasks, in tiles of TILE_BYTES at most, and each Arrow batch of chunks is one
+    matrix product that keeps its k best for each question. Vectors of zeros or of another length score null, last.
+    """
+    asked = questions.select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    known = chunks.select(F.col(key).alias("c"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    kinds = asked.schema["q"].dataType.simpleString(), known.schema["c"].dataType.simpleString()
+    count, widest = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    parts = max(1, -(-count * (widest or 1) * 8 // TILE_BYTES))
+    out = []
+    for i in range(parts):
+        tile = (asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == i)).toArrow().sort_by("q")
+        out.append(known.mapInArrow(scored_by(tile, k), f"{query} {kinds[0]}, {key} {kinds[1]}, score double"))
+    return top(reduce(DataFrame.union, out), query, key, k)
+
+
+TILE_BYTES = 32 << 20
+
+
+def matrix(vectors: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of `width` numbers scaled to length 1, and which of them are such: the others are zeros."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    out, fits = np.zeros((len(vectors), width)), sizes == width
+    if fits.any():
+        out[fits] = pc.list_flatten(vectors.filter(pa.array(fits))).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, width)
+    norm = np.sqrt((out * out).sum(1))
+    good = fits & (norm > 0) & np.isfinite(norm)
+    out[~good] = 0
+    return out / np.where(good, norm, 1)[:, None], good
+
+
+def scored_by(tile: pa.Table, k: int):
+    """For mapInArrow: (q, c, score) of the k best chunks of each batch for each question of tile (q, v), ties by c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widths = sorted(set(pc.list_value_length(tile.column("v").combine_chunks()).to_pylist()))
+        sides = []
+        for width in widths:
+            part = tile.filter(pc.equal(pc.list_value_length(tile.column("v").combine_chunks()), width))
+            sides.append((part.column("q").combine_chunks(), *matrix(part.column("v"), width), width))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pc.sort_indices(batch.column(0)))  # so equal scores are in order of c
+            for q, asked, fine, width in sides:
+                known, good = matrix(batch.column(1), width)
+                score = np.round(asked @ known.T, 12)
+                score[~fine], score[:, ~good] = -np.inf, -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                row, value = np.repeat(np.arange(len(q)), best.shape[1]), np.take_along_axis(score, best, 1).ravel()
+                columns = [q.take(pa.array(row)), batch.column(0).take(pa.array(best.ravel())), pa.array(value, mask=np.isneginf(value))]
+                yield pa.RecordBatch.from_arrays(columns, ["q", "c", "score"])
+
+    return run
 
 
 def fuse(rankings: list[DataFrame], query: str, key: str, limit: int | None = None, rrf_k: int = RRF_K) -> DataFrame:

@@ -12,6 +12,7 @@ MODES, DEFAULT_MODE, DEFAULT_K, MOST_K = ("vector", "keyword", "hybrid"), "hybri
 PROMPT_VERSION = "evidence-v1"
 DISCLAIMER = "For information only; not legal, compliance or investment advice."
 CITED_BY = ("rule_number", "subsection", "source_url")
+ASKED = "Answer from these passages alone, as JSON: answer (string), citations (array of " + ", ".join(CITED_BY) + ", title, supporting_excerpt, each excerpt word for word from one passage), abstained (boolean)."
 
 
 def checked_requests(requests: DataFrame) -> DataFrame:
@@ -56,11 +57,11 @@ def retrieve(requests: DataFrame, chunks: DataFrame, query: str, key: str, text:
     dense = live.filter("retrieval_mode <> 'keyword' and embedding is not null")
     words = retrieval.keyword_search(lexical, query, "question", chunks, key, text, MOST_K)
     vectors = retrieval.vector_search(dense, query, chunks, key, k=MOST_K)
-    of = lambda df, *names: df.join(retrieval.small(mode.filter(F.col("retrieval_mode").isin(*names)).select(query)), query, "left_semi")
+    of = lambda df, *names: df.join(mode.filter(F.col("retrieval_mode").isin(*names)).select(query), query, "left_semi")
     fused = retrieval.hybrid_search(of(words, "hybrid"), of(vectors, "hybrid"), query, key, MOST_K)
     columns = [query, key, "score", "rank"]
     ranked = of(words, "keyword").select(columns).unionByName(of(vectors, "vector").select(columns)).unionByName(fused.select(columns))
-    return ranked.join(retrieval.small(mode.select(query, "top_k")), query).filter(F.col("rank") <= F.col("top_k")).select(columns)
+    return ranked.join(mode.select(query, "top_k"), query).filter(F.col("rank") <= F.col("top_k")).select(columns)
 
 
 def responses(requests: DataFrame, passages: DataFrame, query: str) -> DataFrame:
@@ -73,8 +74,7 @@ def responses(requests: DataFrame, passages: DataFrame, query: str) -> DataFrame
 def prompt(question: Column, passages: Column) -> Column:
     """What a model is asked; passages is array<struct<rank,content,...>> by rank, each with its other fields by name."""
     block = F.transform(passages, lambda p: F.concat(F.lit("PASSAGE "), F.to_json(p)))
-    asked = "Answer from these passages alone, as JSON: answer (string), citations (array of " + ", ".join(CITED_BY) + ", title, supporting_excerpt, each excerpt word for word from one passage), abstained (boolean)."
-    return F.concat_ws("\n\n", F.lit(asked), F.concat(F.lit("QUESTION "), question), F.array_join(block, "\n\n"))
+    return F.concat_ws("\n\n", F.lit(ASKED), F.concat(F.lit("QUESTION "), question), F.array_join(block, "\n\n"))
 
 
 def _kind(v: Column) -> Column:
@@ -138,8 +138,15 @@ def overlay(given: DataFrame, judged: DataFrame, query: str) -> DataFrame:
     )
 
 
-def log_rows(given: DataFrame, key: str = "key") -> DataFrame:
-    """What the query log keeps of responses without error: no passages, only their keys."""
+def latency_ms(began: float, ended: float, strict: bool = False) -> int:
+    """Whole milliseconds between two readings of a clock, 0 if it ran backwards (an error if strict)."""
+    if strict and ended < began:
+        raise ValueError("the clock ran backwards")
+    return max(0, int((ended - began) * 1000))
+
+
+def log_rows(given: DataFrame, key: str = "key", latency: int | None = None) -> DataFrame:
+    """What the query log keeps of responses without error: no passages, only their keys; latency is that of the batch."""
     keys = F.transform(F.coalesce("citations", F.array().cast(given.schema["citations"].dataType)), lambda c: c[key])
     config = F.struct(F.col("retrieval_mode").alias("mode"), "top_k", F.col("retrieval_configuration").alias("configuration"))
-    return given.filter("error is null").select("question", "answer", "abstained", keys.alias("retrieved_keys"), config.alias("retrieval_configuration"), "prompt_version")
+    return given.filter("error is null").select("question", "answer", "abstained", keys.alias("retrieved_keys"), config.alias("retrieval_configuration"), "prompt_version", *([F.lit(latency).alias("latency_ms")] if latency is not None else []))
