@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from granary.operators import chunking, ingest, retrieval
@@ -19,15 +20,17 @@ def newest(snapshots: DataFrame, source: str, at: str, key: str) -> DataFrame:
 
 
 def chunk_into(documents: DataFrame, key: list[str], out: str, checkpoint: str, target: int = 600, overlap: int = 50) -> StreamingQuery:
-    """Appends the chunks of documents (key, content) that are not in `out` yet, until all that is there is read.
+    """Chunks of documents (key, content) under `out`, each key and content once, until all that is there is read.
 
-    Each micro-batch is anti-joined with what is stored, so a batch that is run again after a failure adds nothing.
+    What was seen is kept as state, a key and a hash for each document, so no batch reads what is stored. A changed
+    document has a new document_hash and its chunks are added. A micro-batch writes its own folder, so one that is run
+    again after a failure replaces what it wrote.
     """
+    named = [*key, "document_hash"]
+    seen_once = documents.withColumn("document_hash", F.sha2(F.coalesce("content", F.lit("")), 256)).dropDuplicates(named)
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        chunks = chunking.chunk(ingest.distinct_rows(batch, key), key, target=target, overlap=overlap)
-        spark.createDataFrame([], chunks.schema).write.mode("append").parquet(out)
-        chunks.join(spark.read.schema(chunks.schema).parquet(out).select(*key).distinct(), key, "left_anti").write.mode("append").parquet(out)
+    def add(batch: DataFrame, number: int) -> None:
+        chunks = chunking.chunk(ingest.distinct_rows(batch.select(*named, "content"), named), named, target=target, overlap=overlap)
+        chunks.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return seen_once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
