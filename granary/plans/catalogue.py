@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as fn
-from granary.operators import answers, chunking, evaluation, ingest, retrieval, rules, sections, service
-from granary.session import table
-from granary.sources import embed, html, manifest, snapshots
+from granary.operators import ann, answers, chunking, evaluation, ingest, retrieval, rules, sections, service, store
+from granary.plans import lines
+from granary.plans.lines import TARGET
+from granary.session import shared_dir, table
+from granary.sources import embed, fetch, html, manifest, snapshots
 
-TARGET, OVERLAP = 100, 10
+OVERLAP = 10
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str, write: Callable[[str], None]) -> str:
+    """Where write has put what it derives from df's files; once a session, again if the files have changed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in sorted(df.inputFiles())]
+    files = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    known = (spark.sparkContext.applicationId, name, *((f.getPath().toString(), f.getModificationTime(), f.getLen()) for f in files))
+    if known not in _stored:
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _stored[known] = path
+    return _stored[known]
 
 
 def latest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,17 +49,29 @@ def term_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' postings, stored by term."""
+    docs = table(spark, sf_dir, "documents")
+    path = stored(spark, docs, "postings", lambda p: retrieval.write_index(retrieval.postings(docs, "doc_id", "text"), p))
+    return retrieval.read_index(spark, path)
+
+
 def _keyword(spark: SparkSession, sf_dir: str, k: int = retrieval.CANDIDATES) -> DataFrame:
-    return retrieval.keyword_search(table(spark, sf_dir, "benchmark"), "item_id", "text", table(spark, sf_dir, "documents"), "doc_id", "text", k)
+    asked = retrieval.asked_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return retrieval.search_index(asked, "item_id", _index(spark, sf_dir), "doc_id", k)
 
 
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(spark, sf_dir).select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    return table(spark, sf_dir, "embeddings").join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), "embedding")
+
+
 def _vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), "embedding")
+    vectors, asked = table(spark, sf_dir, "embeddings"), _asked_vectors(spark, sf_dir)
     return retrieval.vector_search(asked, "item_id", vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
 
 
@@ -87,24 +116,41 @@ def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items; expected are the documents that contain the item's text."""
-    items = table(spark, sf_dir, "benchmark")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = docs.join(retrieval.small(items.select("item_id", F.col("text").alias("asked"))), F.contains("text", "asked")).groupBy("item_id").agg(F.sort_array(F.collect_list("doc_id")).alias("expected"))
-    return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("expected", F.array().cast("array<bigint>")).alias("expected"))
+    """Benchmark items; expected are the documents that contain the item's text and have a language, and their sources.
+
+    Documents are looked up by the rarest of an item's inner terms, which a text that contains it has as terms too.
+    Items of fewer than three terms have none, and are held against all documents.
+    """
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("asked"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    index = _index(spark, sf_dir).select("term", "doc_id")
+    size = F.size(fn.terms(F.col("asked")))
+    inner = items.filter(size >= 3).select("item_id", F.explode(F.array_distinct(F.slice(fn.terms(F.col("asked")), 2, size - 2))).alias("term"))
+    known = index.groupBy("term").agg(F.count("*").alias("n"))
+    rare = inner.join(known, "term", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("r")).select("item_id", F.col("r.term").alias("term"))
+    tried = rare.join(index, "term").select("item_id", "doc_id").join(items, "item_id").join(docs, "doc_id")
+    short = docs.join(items.filter(size < 3), F.contains("text", "asked")).select(tried.columns)
+    hits = tried.filter(F.contains("text", "asked")).union(short).filter("lang is not null")
+    held = hits.groupBy("item_id").agg(F.sort_array(F.collect_list("doc_id")).alias("expected"), F.sort_array(F.collect_set("source")).alias("expected_subsections"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return items.select("item_id").join(held, "item_id", "left").select("item_id", none("expected", "bigint"), none("expected_subsections", "string"))
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    retrieved = _keyword(spark, sf_dir).select("item_id", "rank", F.col("doc_id").alias("key"))
-    return evaluation.evaluation_rows(_cases(spark, sf_dir), retrieved, "item_id", [3, 5, 8])
+    """Each mode's passages; those of documents without a language have no key."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang").isNotNull(), F.col("doc_id")).alias("key"), F.col("source").alias("subsection"))
+    keyword, vector = _keyword(spark, sf_dir), _vector(spark, sf_dir)
+    found = {"keyword": keyword, "vector": vector, "hybrid": retrieval.hybrid_search(keyword, vector, "item_id", "doc_id", 8)}
+    rankings = {mode: x.filter("rank <= 8").select("item_id", "rank", "doc_id").join(docs, "doc_id", "left").drop("doc_id") for mode, x in found.items()}
+    return evaluation.evaluation_grid(_cases(spark, sf_dir), rankings, "item_id", [3, 5, 8])
 
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evaluated(spark, sf_dir).select("item_id", "top_k", F.round("recall", 6).alias("recall"), F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "passed")
+    return _evaluated(spark, sf_dir).select("mode", "item_id", "top_k", *(F.round(c, 6).alias(c) for c in ("recall", "subsection_recall", "reciprocal_rank")), "passed")
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.evaluation_summary(_evaluated(spark, sf_dir), ["top_k"])
+    return evaluation.evaluation_summary(_evaluated(spark, sf_dir), ["mode", "top_k", "configuration"])
 
 
 def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,13 +212,21 @@ def guidance_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def section_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = html_elements(spark, sf_dir)
-    return sections.coverage(held, sections.guidance_sections(held, "page_id"), "page_id")
+    return sections.guidance_audit(held, sections.guidance_sections(held, "page_id"), "page_id")
 
 
 def _rule_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.rule_elements(table(spark, sf_dir, "pages"), "page_id", selector="article").filter("error is null")
 
 
+def rule_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page, and why rule_sections, rule_audit and normalized_hash leave it out; null where they don't."""
+    pages = table(spark, sf_dir, "pages")
+    read = html.rule_elements(pages, "page_id", selector="article")
+    told = read.filter("error is not null").select("page_id", "error").unionByName(rules.faults(read.filter("error is null"), "page_id"))
+    return pages.select("page_id").join(told, "page_id", "left")
+
+
 def rule_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_sections(_rule_elements(spark, sf_dir), "page_id", selector="article")
 
@@ -247,7 +301,7 @@ def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ";").alias(c)
-    return _evaluated(spark, sf_dir).select("item_id", "top_k", listed("expected"), listed("got"))
+    return _evaluated(spark, sf_dir).select("mode", "item_id", "top_k", *map(listed, ("expected", "got", "expected_subsections", "got_subsections")))
 
 
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,6 +315,92 @@ def snapshot_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.consistent(pages, said).select("page_id", "error")
 
 
+def newest_keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search over section paths and contents of chunks of each source's newest document."""
+    chunks = lines.newest_chunks(spark, sf_dir)
+    found = retrieval.keyword_search(table(spark, sf_dir, "benchmark"), "item_id", "text", chunks, "chunk_id", "content", section_path="section_path")
+    return found.select("item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def newest_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = retrieval.vector_search(_asked_vectors(spark, sf_dir), "item_id", lines.newest_chunks(spark, sf_dir), "chunk_id")
+    return found.select("item_id", "chunk_id", F.round("score", 5).alias("score"), "rank")
+
+
+def newest_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search over newest documents as passages of eleven columns."""
+    chunks = lines.newest_chunks(spark, sf_dir)
+    keyword = retrieval.keyword_search(table(spark, sf_dir, "benchmark"), "item_id", "text", chunks, "chunk_id", "content", section_path="section_path")
+    vector = retrieval.vector_search(_asked_vectors(spark, sf_dir), "item_id", chunks, "chunk_id")
+    found = store.passages(retrieval.hybrid_search(keyword, vector, "item_id", "chunk_id"), chunks, "item_id")
+    return found.withColumns({"score": F.round("score", 6), "retrieved_at": F.unix_seconds("retrieved_at")})
+
+
+def english_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """newest_keyword_topk with English stems."""
+    chunks = lines.newest_chunks(spark, sf_dir)
+    found = retrieval.keyword_search(table(spark, sf_dir, "benchmark"), "item_id", "text", chunks, "chunk_id", "content", section_path="section_path", english=True)
+    return found.select("item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ann.Cells]:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    cells = ann.fit(vectors)
+    path = stored(spark, vectors, f"cells-{cells.n}", lambda p: ann.write_index(vectors, "doc_id", p, cells))
+    return spark.read.parquet(path), cells
+
+
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many cells are read as 100 questions need for 0.93 of the exact search's rows."""
+    index, cells = _cells(spark, sf_dir)
+    asked = _asked_vectors(spark, sf_dir)
+    sample = asked.orderBy(F.xxhash64("item_id")).limit(100)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    probes = ann.probes_for(0.93, sample, "item_id", retrieval.vector_search(sample, "item_id", vectors, "doc_id"), index, "doc_id", cells)
+    found = ann.search(asked, "item_id", index, "doc_id", cells, probes=probes)
+    return found.select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the exact search, and whether the index finds nine tenths of them."""
+    return ann.recall(ann_topk(spark, sf_dir), _vector(spark, sf_dir), "item_id", "doc_id").select("n", (F.col("recall") >= 0.9).alias("reached"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model would be asked about each item with its three best documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    best = _keyword(spark, sf_dir, 3).join(docs, "doc_id").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content", "doc_id"))).alias("p"))
+    asked = table(spark, sf_dir, "benchmark").join(best, "item_id", "left")
+    none = F.array().cast("array<struct<rank:int,content:string,doc_id:bigint>>")
+    return asked.select("item_id", F.sha2(service.prompt(F.coalesce("text", F.lit("")), F.coalesce("p", none)), 256).alias("prompt_sha256"))
+
+
+def source_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as sources, some with blank or bad identifiers, kinds and rule numbers; urls as they are."""
+    n, one = F.col("page_id"), lambda *xs: F.element_at(F.array(*(F.lit(x).cast("string") for x in xs)), (F.col("page_id") % len(xs) + 1).cast("int"))
+    name = F.concat(one("page-x", "Page-", "page-", " page-y"), n.cast("string"))
+    rows = table(spark, sf_dir, "pages").select(n.alias("ordinal"), F.when(n % 11 == 10, " ").otherwise(name).alias("source_id"), one("2090", None, "209", "4512", "x").alias("rule_number"), F.when(n % 13 == 12, "").otherwise("t").alias("title"), one("rule", "guidance", "note", None, "guidance", "rule", "guidance").alias("source_type"), "url")
+    return manifest.validate(rows, ["thther.example.org"]).select(F.col("ordinal").alias("page_id"), "error")
+
+
+def source_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ordinal"), F.col("n_name").alias("source_id"))
+    every = [r["source_id"] for r in nations.orderBy("source_id").collect()]  # a manifest: a few names
+    return manifest.select(nations, every[5:1:-1] + every[3:9]).select("ordinal", "source_id")
+
+
+def duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.duplicates(table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "lang", F.col("n_chars").cast("string")).alias("source_id")))
+
+
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as responses: by host, kind of content and size; equal content of a host is unchanged."""
+    kind = F.when(F.col("page_id") % 9 == 8, "application/pdf").otherwise("Text/HTML; charset=utf-8")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^http:", "https:").alias("final_url"), kind.alias("content_type"), F.col("html").cast("binary").alias("body"))
+    told = fetch.judged(pages, ["thther.example.org", "STERSHER.example.org"], 1500)
+    return told.groupBy("status", "error").agg(F.count("*").alias("n"))
+
+
 def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as sources, orders' newest dates as snapshots, suppliers as normalized documents."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
@@ -279,6 +419,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         query_log_rollup, effective_date, effective_dates, html_elements, guidance_sections, section_audit,
         rule_sections, rule_audit, normalized_hash, stemmed_topk,
         request_checks, answered_requests, query_log, generated_answers, eval_report, hashed_embeddings, snapshot_consistency, source_listing,
+        rule_faults, newest_keyword_topk, newest_vector_topk, newest_passages, english_topk, ann_topk, ann_recall, prompts, source_checks, source_select, duplicate_sources, fetch_outcomes,
+        *lines.QUERIES,
     )
 }
 
@@ -288,15 +430,23 @@ _POSTINGS = "postings as (select doc_id, term, count(*) as tf from (select doc_i
 _KEYWORD = f"{_ASKED}, {_POSTINGS}, scored as (select item_id, doc_id, sum(tf) as n from asked join postings using (term) group by all), kw as (select item_id, doc_id, n * 0.1::double as score, row_number() over (partition by item_id order by n desc, doc_id)::int as rank from scored qualify rank <= 15)"
 _VECTOR = "vec as (select q.vec_id as item_id, v.vec_id as doc_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score, row_number() over (partition by q.vec_id order by list_cosine_similarity(q.embedding::double[], v.embedding::double[]) desc, v.vec_id)::int as rank from embeddings q join benchmark b on b.item_id = q.vec_id, embeddings v qualify rank <= 15)"
 _HYBRID = f"{_KEYWORD}, {_VECTOR}, both_lists as (select item_id, doc_id, 0 as l, rank from kw union all select item_id, doc_id, 1, rank from vec), fused as (select item_id, doc_id, sum(1.0::double / (60 + rank)) as score, min(l * 100 + rank) as seen from both_lists group by all), hyb as (select item_id, doc_id, score, row_number() over (partition by item_id order by round(score, 12) desc, seen)::int as rank from fused qualify rank <= 5)"
-_CASES = "cases as (select b.item_id, list(d.doc_id) filter (where d.doc_id is not null) as expected from benchmark b left join documents d on contains(d.text, b.text) group by all)"
-_EVAL = f"""{_KEYWORD}, {_CASES}, ks as (select unnest([3, 5, 8])::int as top_k),
-rows_ as (
-  select item_id, top_k, len(expected) as e,
-    case when len(expected) > 0 then (select count(*) from kw where kw.item_id = c.item_id and rank <= top_k and list_contains(expected, doc_id)) / len(expected)::double end as recall,
-    case when len(expected) > 0 then coalesce((select max(1.0::double / rank) from kw where kw.item_id = c.item_id and rank <= top_k and list_contains(expected, doc_id)), 0) end as rr,
-    (select count(*) from kw where kw.item_id = c.item_id and rank <= top_k) = 0 as nothing
-  from cases c, ks
-), ev as (select item_id, top_k, recall, rr, nothing = (coalesce(e, 0) = 0) as passed from rows_)"""
+_CASES = """cases as (
+  select b.item_id, coalesce(list(d.doc_id order by d.doc_id) filter (where d.doc_id is not null), []) as expected, coalesce(list_sort(list(distinct d.source) filter (where d.source is not null)), []) as subs
+  from benchmark b left join documents d on contains(d.text, b.text) and d.lang is not null group by all)"""
+_EVAL = f"""{_HYBRID.replace("qualify rank <= 5", "qualify rank <= 8")}, {_CASES}, ks as (select unnest([3, 5, 8])::int as top_k), modes as (select unnest(['keyword', 'vector', 'hybrid']) as mode),
+found as (select 'keyword' as mode, item_id, doc_id, rank from kw union all select 'vector', item_id, doc_id, rank from vec union all select 'hybrid', item_id, doc_id, rank from hyb),
+f as (select mode, item_id, rank, case when d.lang is not null then d.doc_id end as key, d.source as sub from found left join documents d using (doc_id) where rank <= 8),
+g as (
+  select mode, top_k, item_id, any_value(expected) as expected, any_value(subs) as subs, count(rank) as n,
+    coalesce(list(key order by rank) filter (where key is not null), []) as got, coalesce(list(sub order by rank) filter (where sub is not null and sub <> ''), []) as gotsubs
+  from cases cross join modes cross join ks left join f using (mode, item_id) where coalesce(rank, 0) <= top_k group by all
+), ev as (
+  select *, mode || '-top-' || top_k as configuration,
+    case when len(expected) > 0 then len(list_distinct(list_filter(got, lambda x: list_contains(expected, x)))) / len(expected)::double end as recall,
+    case when len(expected) > 0 and len(subs) > 0 then len(list_distinct(list_filter(gotsubs, lambda x: list_contains(subs, x)))) / len(subs)::double end as subsection_recall,
+    case when len(expected) > 0 then coalesce((select 1.0::double / min(i) from (select unnest(range(1, len(got) + 1)) as i) where list_contains(expected, got[i])), 0) end as rr,
+    (n = 0) = (len(expected) = 0) as passed
+  from g)"""
 _CHUNKS = rf"""tok as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') as t from documents),
 win as (select doc_id, t, unnest(range(0, case when len(t) = 0 then 0 else 1 + greatest(0, ceil((len(t) - {TARGET}) / {TARGET - OVERLAP}::double))::bigint end)) as i from tok),
 chunks as (select doc_id, i::int as chunk_index, len(t[i * {TARGET - OVERLAP} + 1:i * {TARGET - OVERLAP} + {TARGET}])::int as token_count, sha256(array_to_string(t[i * {TARGET - OVERLAP} + 1:i * {TARGET - OVERLAP} + {TARGET}], ' ')) as content_hash from win)"""
@@ -327,11 +477,11 @@ select grp, okey, round(score, 6) as score, row_number() over (partition by grp
 union all select * from (values (-1, 0, 'Which stock is best?'), (-1, 1, 'Should I ever buy it'), (-1, 2, 'Give LEGAL advice'), (-1, 3, 'What does the rule say?')))""",
     "grounded_answer": f"""with {_HYBRID}, p as (select item_id, rank, coalesce(text, '') as content from hyb join documents using (doc_id)),
 a as (select item_id, count(*)::int as n, string_agg('[' || rank || '] ' || content, chr(10) || chr(10) order by rank) as t from p group by all)
-select b.item_id, n is null as abstained, coalesce(n, 0)::int as n_citations, sha256(case when n is null then '{answers.ABSTENTION}' else 'The indexed evidence relevant to this question is below. Review the cited text before relying on it.' || chr(10) || chr(10) || t end) as answer_sha256 from benchmark b left join a using (item_id)""",
+select b.item_id, n is null as abstained, coalesce(n, 0)::int as n_citations, sha256(case when n is null then '{answers.ABSTENTION}' else '{answers.PREAMBLE.strip()}' || chr(10) || chr(10) || t end) as answer_sha256 from benchmark b left join a using (item_id)""",
     "citation_validation": """with p as (select conv_id, turn as rank, nullif(role, 'system') as label, text as content, row_number() over (partition by conv_id, nullif(role, 'system') order by turn) as n from conversations)
 select c.conv_id, c.turn, coalesce(contains(p.content, substr(c.text, 1, 20)), false) as valid from conversations c left join p on n = 1 and p.conv_id = c.conv_id and p.label is not distinct from nullif(c.role, 'system')""",
-    "eval_rows": f"with {_EVAL} select item_id, top_k, round(recall, 6) as recall, round(rr, 6) as reciprocal_rank, passed from ev",
-    "eval_summary": f"with {_EVAL} select top_k, count(recall) as answerable, round(coalesce(avg(recall), 0), 6) as recall, round(coalesce(avg(rr) filter (where recall is not null), 0), 6) as mrr, round(avg(passed::int), 6) as abstention_accuracy from ev group by top_k",
+    "eval_rows": f"with {_EVAL} select mode, item_id, top_k, round(recall, 6) as recall, round(subsection_recall, 6) as subsection_recall, round(rr, 6) as reciprocal_rank, passed from ev",
+    "eval_summary": f"with {_EVAL} select mode, top_k, configuration, count(recall) as answerable, round(coalesce(avg(recall), 0), 6) as recall, round(coalesce(avg(rr) filter (where recall is not null), 0), 6) as mrr, round(avg(passed::int), 6) as abstention_accuracy, round(avg(subsection_recall), 6) as subsection_recall from ev group by all",
     "snapshot_changes": "select event_id, case when lag(event_type) over (partition by user_id order by ts, event_id) = event_type then 'unchanged' else 'saved' end as status from events",
     "ingest_dedup": "with d as (select source, sha256(coalesce(text, '')) as content_hash, doc_id from documents) select distinct source, content_hash from d where not exists (select 1 from d e join labels using (doc_id) where e.source = d.source and e.content_hash = d.content_hash)",
     "embedding_backfill": "select vec_id, coalesce(label <> 0, false) and embedding is not null as filled from embeddings",
@@ -348,14 +498,32 @@ select doc_id, coalesce(try_strptime(x.m || ' ' || x.d || ' ' || x.y, '%b %d %Y'
 from (select *, ['vector', 'keyword', 'hybrid', 'other', null][(turn % 5 + 1)::int] as mode from conversations)""",
     "answered_requests": f"""with {_HYBRID}, {_MODED.replace("{gate}", _GATE.replace("(text,", "(q,"))}
 select item_id, error, configuration, case when not failed then n is null end as abstained, case when not failed then coalesce(n, 0)::int end as n_citations,
-case when not failed then sha256(case when n is null then '{answers.ABSTENTION}' else 'The indexed evidence relevant to this question is below. Review the cited text before relying on it.' || chr(10) || chr(10) || t end) end as answer_sha256 from req2 left join a using (item_id)""",
+case when not failed then sha256(case when n is null then '{answers.ABSTENTION}' else '{answers.PREAMBLE.strip()}' || chr(10) || chr(10) || t end) end as answer_sha256 from req2 left join a using (item_id)""",
     "query_log": f"""with {_HYBRID}, {_MODED.replace("{gate}", _GATE.replace("(text,", "(q,"))}
 select sha256(q) as question_sha256, n is null as abstained, coalesce(keys, '') as keys, configuration from req2 left join a using (item_id) where not failed""",
     "generated_answers": f"""with {_HYBRID}, {_MODED.replace("{gate}", _GATE.replace("(text,", "(q,"))}
 select item_id, not failed and n is not null and item_id % 2 = 0 as generated, case when failed then null when n is not null and item_id % 2 = 0 then 1 else coalesce(n, 0)::int end as n_citations from req2 left join a using (item_id)""",
-    "eval_report": f"""with {_EVAL}, g as (select item_id, top_k, string_agg(doc_id::varchar, ';' order by rank) as got from kw, ks where rank <= top_k group by all)
-select item_id, top_k, coalesce(array_to_string(list_sort(expected), ';'), '') as expected, coalesce(got, '') as got from (select * from cases, ks) left join g using (item_id, top_k)""",
+    "eval_report": f"""with {_EVAL} select mode, item_id, top_k, array_to_string(expected, ';') as expected, array_to_string(got, ';') as got, array_to_string(subs, ';') as expected_subsections, array_to_string(gotsubs, ';') as got_subsections from ev""",
     "snapshot_consistency": "select page_id, case page_id % 7 when 6 then 'no metadata for this file' when 1 then 'metadata is of another source' when 2 then 'content hash does not match metadata' end as error from pages",
+    "newest_keyword_topk": f"with {lines.NEWEST}, {_ASKED}, {lines.NEWEST_KEYWORD} select item_id, chunk_id, round(n * 0.1::double, 6) as score, rank from nkw",
+    "newest_vector_topk": f"with {lines.NEWEST}, {lines.NEWEST_VECTOR} select item_id, chunk_id, round(score, 5) as score, rank from nvec",
+    "newest_passages": f"""with {lines.NEWEST}, {_ASKED}, {lines.NEWEST_KEYWORD}, {lines.NEWEST_VECTOR}, fused as (select item_id, chunk_id, sum(1.0::double / (60 + rank)) as score, min(l * 100 + rank) as seen from (select item_id, chunk_id, rank, 0 as l from nkw union all select item_id, chunk_id, rank, 1 from nvec) group by all),
+best as (select *, row_number() over (partition by item_id order by round(score, 12) desc, seen)::int as rank from fused qualify rank <= 5)
+select item_id, rank, chunk_id, document_id, rule_number, title, source_type, source_url, epoch(retrieved_at)::bigint as retrieved_at, section_path, subsection, content, round(score, 6) as score from best join nchunk using (chunk_id)""",
+    "ann_recall": f"with {_VECTOR} select count(*) as n, true as reached from vec",
+    "prompts": f"""with {_KEYWORD.replace("qualify rank <= 15", "qualify rank <= 3")}, p as (select item_id, string_agg('PASSAGE {{"rank":' || rank || ',"content":' || to_json(coalesce(text, ''))::varchar || ',"doc_id":' || doc_id || '}}', chr(10) || chr(10) order by rank) as t from kw join documents using (doc_id) group by item_id)
+select item_id, sha256('{service.ASKED}' || chr(10) || chr(10) || 'QUESTION ' || coalesce(text, '') || chr(10) || chr(10) || coalesce(t, '')) as prompt_sha256 from benchmark left join p using (item_id)""",
+    "source_checks": r"""with s as (select page_id, trim(case when page_id % 11 = 10 then ' ' else ['page-x', 'Page-', 'page-', ' page-y'][(page_id % 4 + 1)::int] || page_id end) as source_id, ['2090', null, '209', '4512', 'x'][(page_id % 5 + 1)::int] as rule_number, case when page_id % 13 = 12 then '' else 't' end as title,
+  ['rule', 'guidance', 'note', null, 'guidance', 'rule', 'guidance'][(page_id % 7 + 1)::int] as source_type, url from pages)
+select page_id, case when source_id = '' or title = '' or coalesce(trim(url), '') = '' then 'required field is blank' when not regexp_full_match(source_id, '[a-z]+(?:-[a-z0-9]+)+') then 'bad source id' when coalesce(source_type, '') not in ('rule', 'guidance') then 'unknown source type'
+  when not starts_with(url, 'https:') then 'url is not https' when regexp_matches(url, '[?#]') then 'url has a query or fragment' when not regexp_matches(url, '^https://thther\.example\.org(/|$)') then 'host is not allowed'
+  when source_type = 'rule' and rule_number is null then 'rule number is missing' when rule_number is not null and not regexp_full_match(rule_number, '\d{4}') then 'bad rule number' end as error from s""",
+    "source_select": "with s as (select n_nationkey as ordinal, n_name as source_id, row_number() over (order by n_name) as i from nation) select ordinal, source_id from s where i between 3 and 9",
+    "duplicate_sources": "select concat_ws('-', source, lang, n_chars) as source_id from documents group by all having count(*) > 1",
+    "fetch_outcomes": r"""with p as (select page_id, regexp_replace(url, '^http:', 'https:') as url, strlen(coalesce(html, '')) as size from pages),
+j as (select case when not regexp_matches(lower(url), '^https://(thther|stersher)\.example\.org([/?#]|$)') then 'redirected to a host that is not allowed' when page_id % 9 = 8 then 'content is not HTML' when size < 1500 then 'content has ' || size || ' bytes, fewer than 1500' end as error from p)
+select case when error is null then 'saved' else 'failed' end as status, error, count(*) as n from j group by all""",
+    **lines.ORACLES,
     "source_listing": """with m as (select c_nationkey as n_nationkey, max(o_orderdate) as newest from orders join customer on c_custkey = o_custkey group by all), s as (select s_nationkey as n_nationkey, max(s_name) as name from supplier group by all)
 select n_nationkey, n_name, newest as latest_retrieved_at, sha256(name) as normalized_content_hash, name is not null as normalized from nation left join m using (n_nationkey) left join s using (n_nationkey)""",
 }
