@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,8 +56,32 @@ def test_citations_match_null_with_null(spark):
 def test_guidance_sections(spark):
     page = "<main>lost<p>before</p><h1>Top</h1><p>a<b>b</b></p><h2>Sub</h2><ul><li>one</li><li>two</li></ul><h1>Empty</h1></main><footer><p>no</p></footer>"
     df = html.elements(spark.createDataFrame([(1, page), (2, "<p>no body</p>"), (3, None)], "id int, html string"), "id")
-    got = {r.section: (r.section_path, r.content) for r in sections.guidance_sections(df, "id").collect()}
+    found = sections.guidance_sections(df, "id")
+    got = {r.section: (r.section_path, r.content) for r in found.collect()}
     assert got == {0: ("Introduction", "before"), 1: ("Top", "a b"), 2: ("Top > Sub", "one\n\ntwo"), 3: ("Empty", "Empty")}
+    assert {r.id: r.error for r in df.filter("error is not null").collect()} == {2: "no body was found", 3: "no body was found"}
+    titled = sections.guidance_sections(df.withColumn("t", F.lit("Page")), "id", "t").orderBy("section").collect()
+    assert [(r.section_path, r.heading, r.heading_source, r.display_label) for r in titled[:2]] == [("Page", None, "synthetic", "Introduction"), ("Page > Top", "Top", "official", "Top")]
+    assert [(x.element_index, x.selector) for x in titled[2].locators] == [(3, "main > :nth-child(4)"), (4, "main > :nth-child(5)"), (5, "main > :nth-child(6)")]
+    checked = sections.guidance_audit(df, found, "id").collect()
+    assert [(r.id, r.exact, r.ratio) for r in checked] == [(1, True, 1.0)]
+    lost = sections.guidance_audit(df, found.filter("section <> 2"), "id").first()
+    assert (lost.exact, lost.missing, lost.extra) == (False, [3, 4, 5], [])
+
+
+def test_heading_paths_equal_a_stack(spark):
+    rng = random.Random(3)
+    docs = [[rng.choice(["h1", "h2", "h3", "h4", "p"]) for _ in range(rng.randrange(1, 25))] for _ in range(200)]
+    rows = [(d, i, tag, f"{tag}-{i}") for d, tags in enumerate(docs) for i, tag in enumerate(tags)]
+    got = {}
+    for r in sections.guidance_sections(spark.createDataFrame(rows, "d int, element_index int, tag string, text string"), "d").collect():
+        got[r.d, r.section] = r.section_path
+    for d, tags in enumerate(docs):
+        stack, n = [], 0
+        for i, tag in enumerate(tags):
+            if tag != "p":
+                stack, n = stack[: int(tag[1]) - 1] + [f"{tag}-{i}"], n + 1
+                assert got[d, n] == " > ".join(stack)
 
 
 def test_scope_gate(spark):

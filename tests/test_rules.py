@@ -9,50 +9,49 @@ from granary.functions import text as fn
 from granary.operators import rules
 from granary.sources import html
 
-PAGE = """<nav>menu</nav><div id="block-body"><div class="x field--name-body"><div>Know your customer.</div><hr>
-<p>&bull; &bull; Supplementary Material: --------------</p><p>.01 Facts. Essential facts are these.</p><p>More of it.</p>
-<table class="footnote"><tr><td>Amended; eff. July 9, 2012. See <ref>11-02</ref></td></tr></table></div></div><footer>no</footer>"""
+PAGE = """<header>skip me</header><div id="block-body"><div class="y field--name-body"><div>Boats keep a lamp lit at night.</div><hr><div>Small ones may use a lantern.</div>
+<p>Supplementary Material: ------</p><p>.01 Lamps. A lamp burns oil or gas.</p><p>.02 Lanterns</p><p>They hang from the mast.</p>
+<table class="wide footnote"><tr><td>Adopted; eff. March 3, 2015. Renumbered later; see <ref>15-07</ref> and <ref>16-20</ref></td></tr></table></div></div><footer>skip too</footer>"""
 TEXTS = ["(a) Title", "(a) Text of it; more", "(b) " + "long " * 30, "(1) child heading", "(2) child text.", "plain words", "another. one", "Supplementary Material: --", ".01 Head. Body here", ".02 Only heading", "(12) x", "(aa) y", ""]
 
 
+def cut_at(items, opening):
+    """What comes before the first item that matches opening, and then one list from each such item on."""
+    places = [n for n, (_, t) in enumerate(items) if re.fullmatch(opening, t)]
+    return items[: places[0]] if places else items, [items[m:n] for m, n in zip(places, [*places[1:], len(items)])]
+
+
+def opened(run, opening, wordy):
+    """(label, heading, bodies) of a run by its opening; wordy says of the words after the label whether they are text."""
+    label, rest = re.fullmatch(opening, run[0][1]).groups()
+    more = [t for _, t in run[1:]]
+    return (label, None, [rest, *more]) if wordy(rest) else (label, rest, more)
+
+
 def model(texts):
-    """Sections of one document by a plain loop: (label, heading, content, indexes), or None where it has a fault."""
-    main, tops, extra, after = [[], []], [], [], False
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        if re.search(rules.MARKER[4:], t):
-            after = True
-        elif after:
-            if m := re.match(r"^\.(\d\d)\s+(.+)$", t):
-                head, _, rest = m[2].partition(". ")
-                extra.append([f".{m[1]}", head, [rest] if rest else [], [i]])
-            elif not extra:
-                return None
-            else:
-                extra[-1][2].append(t)
-                extra[-1][3].append(i)
-        else:
-            a, n = re.fullmatch(r"\(([a-z])\)\s+(.+)", t), re.fullmatch(r"\((\d+)\)\s+(.+)", t)
-            m = a or (n if tops else None)
-            if m:
-                is_text = len(m[2]) > 80 or any(c in m[2] for c in ".;:?!")
-                new = [f"({m[1]})", None if is_text else m[2], [m[2]] if is_text else [], [i], []]
-                (tops if a else tops[-1][4]).append(new)
-            else:
-                owner = (tops[-1][4] or [tops[-1]])[-1] if tops else None
-                (owner[2] if owner else main[0]).append(t)
-                (owner[3] if owner else main[1]).append(i)
-    if not main[0] and not tops:
+    """Sections of one document, cut by cut: (label, heading, content, indexes), or None where it has a fault."""
+    items = [(i, t) for i, t in enumerate(texts) if t]
+    marks = [n for n, (_, t) in enumerate(items) if re.search(rules.MARKER[4:], t)]
+    rule, extra = (items[: marks[0]], [x for n, x in enumerate(items) if n > marks[0] and n not in marks]) if marks else (items, [])
+    stray, notes = cut_at(extra, r"\.\d\d\s+.+")
+    if stray or not rule:
         return None
-    out = [(None, None, "\n\n".join(main[0]), main[1])] if main[0] else []
-    for top in tops:
-        text = "\n\n".join(top[2])
-        out.append((top[0], top[1], text, top[3]))
-        for c in top[4]:
-            lead = [text] if not top[1] and 0 < len(text) <= 200 else []
-            out.append((top[0] + c[0], c[1], "\n\n".join(lead + c[2]), c[3]))
-    return out + [(e[0], e[1], "\n\n".join(e[2]), e[3]) for e in extra]
+    at, join, wordy = lambda run: [i for i, _ in run], "\n\n".join, lambda v: len(v) > 80 or bool(set(v) & set(".;:?!"))
+    intro, parts = cut_at(rule, r"\([a-z]\)\s+.+")
+    out = [(None, None, join(t for _, t in intro), at(intro))] if intro else []
+    for part in parts:
+        own, children = cut_at(part, r"\(\d+\)\s+.+")
+        label, heading, bodies = opened(own, r"(\([a-z]\))\s+(.+)", wordy)
+        out.append((label, heading, join(bodies), at(own)))
+        short = heading is None and 0 < len(join(bodies)) <= 200
+        for child in children:
+            number, name, texts = opened(child, r"(\(\d+\))\s+(.+)", wordy)
+            out.append((label + number, name, join([join(bodies)] * short + texts), at(child)))
+    for note in notes:
+        label, rest, more = opened(note, r"(\.\d\d)\s+(.+)", lambda v: False)
+        name, _, first = rest.partition(". ")
+        out.append((label, name, join([first] * bool(first) + more), at(note)))
+    return out
 
 
 def test_sections_equal_a_loop(spark):
@@ -74,23 +73,24 @@ def test_sections_equal_a_loop(spark):
 
 def test_rule_page_from_html_to_hash(spark):
     pages = spark.createDataFrame([("r", PAGE), ("none", "<p>x</p>"), ("two", PAGE + PAGE), ("null", None)], "id string, html string")
-    elements = html.rule_elements(pages, "id").withColumn("no", F.lit("2090")).cache()
+    elements = html.rule_elements(pages, "id").withColumn("no", F.lit("7310")).cache()
     errors = {r.id: r.error for r in elements.filter("error is not null").collect()}
     assert errors == {"none": "expected one body, found 0", "two": "expected one body, found 2", "null": "expected one body, found 0"}
     good = elements.filter("error is null")
     sections = rules.rule_sections(good, "id", "no")
-    a, b = sections.orderBy("section").collect()
-    assert (a.label, a.section_path, a.content, a.display_label, a.section_type) == (None, "2090", "Know your customer.", "Main rule text", "rule_text")
-    assert (b.label, b.section_path, b.content, b.section_type) == (".01", "2090 > Supplementary Material > .01 Facts", "Essential facts are these.\n\nMore of it.", "supplementary")
-    assert b.locators[0].selector == "#block-body .field--name-body > :nth-child(4)"
-    assert b.locators[0].source_text_hash == hashlib.sha256(b".01 Facts. Essential facts are these.").hexdigest()
+    a, b, c = sections.orderBy("section").collect()
+    assert (a.label, a.section_path, a.content, a.display_label, a.section_type) == (None, "7310", "Boats keep a lamp lit at night.\n\nSmall ones may use a lantern.", "Main rule text", "rule_text")
+    assert (b.label, b.section_path, b.content, b.section_type) == (".01", "7310 > Supplementary Material > .01 Lamps", "A lamp burns oil or gas.", "supplementary")
+    assert (c.label, c.heading, c.section_path, c.content) == (".02", "Lanterns", "7310 > Supplementary Material > .02 Lanterns", "They hang from the mast.")
+    assert a.locators[1].selector == "#block-body .field--name-body > :nth-child(3)"  # the rule between them counts
+    assert b.locators[0].source_text_hash == hashlib.sha256(b".01 Lamps. A lamp burns oil or gas.").hexdigest()
     past = rules.history(good, "id")
     note = past.select("notices", fn.effective_date(F.col("source_text")).cast("string").alias("at"), fn.effective_evidence(F.col("source_text")).alias("why")).first()
-    assert (note.notices, note.at, note.why) == (["11-02"], "2012-07-09", "Amended; eff. July 9, 2012.")
+    assert (note.notices, note.at, note.why) == (["15-07", "16-20"], "2015-03-03", "Adopted; eff. March 3, 2015.")
     assert rules.rule_audit(good, sections, "id").first().exact
-    said = {"rule_number": "2090", "title": 'T "q"\té', "source_type": "rule", "source_url": "https://a.org", "latest_effective_date": None, "history": past.first().source_text}
+    said = {"rule_number": "7310", "title": 'T "q"\té', "source_type": "rule", "source_url": "https://a.org", "latest_effective_date": None, "history": past.first().source_text}
     docs = spark.createDataFrame([("r", *said.values())], "id string, " + ", ".join(f"{k} string" for k in said))
-    said["sections"] = [{"label": s.label, "heading": s.heading, "section_type": s.section_type, "content": s.content} for s in (a, b)]
+    said["sections"] = [{"label": s.label, "heading": s.heading, "section_type": s.section_type, "content": s.content} for s in (a, b, c)]
     canonical = json.dumps(said, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
     assert rules.content_hash(docs, sections, "id").first().normalized_hash == hashlib.sha256(canonical.encode()).hexdigest()
 
