@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session. Where it is unset a local session gets a folder; a cluster gets an error."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        named = tempfile.mkdtemp(prefix="granary-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
+__all__ = ["cut", "remove", "shared_dir", "sized", "volume"]
 
 
 def cut(df: DataFrame) -> DataFrame:
