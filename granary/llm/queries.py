@@ -67,7 +67,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    out = cut(warc.captures(warc.read_records(spark, path, with_payload=False)))
+    records = cut(warc.read_records(spark, path, with_payload=False))  # parsed once, joined three ways
+    out = cut(warc.captures(records))
     remove(spark, path)
     return out
 
