@@ -79,18 +79,42 @@ def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
     return both.join(_small(rare), ["a_term", "b_term", "gap"]).select("k", (F.col("pos") - F.col("a_at")).alias("start"), "win").filter(F.col("start") >= 0)
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW) -> DataFrame:
-    """Distinct (doc_id, item_id): texts where a window's two rarest terms stand at most `slop` words off their distance."""
+def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, window: int = WINDOW, misses: int = 1) -> DataFrame:
+    """Distinct (doc_id, item_id): texts that hold all words of a window but `misses`, each at most `slop` words off its place.
+
+    Places count from an occurrence of one of the window's misses + 1 rarest words; at least two words must be there,
+    or the only one. Of the misses + 2 rarest words two are in a match, so their lists are intersected at their distance
+    within slop, and what is left is compared with the whole window in the text. Words that no text has are rarest.
+    """
     keyed = _keyed(docs)
     windows = cut(test_windows(items, window))
-    rare = cut(rarest_terms(keyed, windows))
-    index = stored_index(keyed, rare)
+    distinct = windows.select("win").distinct().withColumn("may_miss", F.least(F.lit(misses), F.greatest(F.size("win") - 2, F.lit(0))))
+    vocabulary = _small(distinct.select(F.explode("win").alias("term")).distinct())
+    counted = keyed.select(F.explode(words(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    placed = distinct.select("win", "may_miss", F.posexplode("win").alias("at", "term")).join(counted, "term", "left")
+    ranked = placed.groupBy("win", "may_miss").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "at"))).alias("rare"))
+    rare = F.slice("rare", 1, F.col("may_miss") + 2)
+    first = ranked.select("win", "may_miss", rare.alias("rare"), F.posexplode(F.slice("rare", 1, F.col("may_miss") + 1)).alias("i", "a"))
+    second = F.filter(F.transform("rare", lambda x, i: F.when(i != F.col("i"), x)), lambda x: x.isNotNull())
+    pairs = first.select("win", "may_miss", "a", F.explode(F.when(F.size("win") > 1, second).otherwise(F.array("a"))).alias("b")).filter("a.df > 0 and b.df > 0")
+    pairs = cut(pairs.select("win", "may_miss", F.col("a.term").alias("a_term"), F.col("b.term").alias("b_term"), F.col("a.at").alias("a_at"), (F.col("b.at") - F.col("a.at")).alias("gap")))
+    index = stored_index(keyed, pairs)
     block = 2 * slop + 1
-    a = index.withColumnRenamed("term", "a_term").join(_small(rare), "a_term").withColumn("want", F.col("pos") + F.col("gap"))
+    a = index.withColumnRenamed("term", "a_term").join(_small(pairs), "a_term").withColumn("want", F.col("pos") + F.col("gap"))
     a = a.withColumn("cell", F.explode(F.array_distinct(F.array(F.floor((F.col("want") - slop) / block), F.floor((F.col("want") + slop) / block)))))
     b = index.select("k", F.col("term").alias("b_term"), F.col("pos").alias("b_pos")).withColumn("cell", F.floor(F.col("b_pos") / block))
-    near = a.join(b, ["k", "b_term", "cell"]).filter(F.abs(F.col("b_pos") - F.col("want")) <= slop).select("k", "win").distinct()
-    return near.join(windows, "win").select("k", "item_id").distinct().join(keyed.select("k", "doc_id"), "k").select("doc_id", "item_id").distinct()
+    near = a.join(b, ["k", "b_term", "cell"]).filter(F.abs(F.col("b_pos") - F.col("want")) <= slop)
+    found = near.select("k", (F.col("pos") - F.col("a_at")).alias("start"), "win", "may_miss").distinct().groupBy("k").agg(F.collect_list(F.struct("start", "win", "may_miss")).alias("found"))
+    w = F.col("w")
+
+    def holds(c: Column) -> Column:
+        low = lambda j: F.greatest(c["start"] + j - slop, F.lit(0))
+        there = F.transform(c["win"], lambda x, j: F.array_contains(F.slice(w, low(j) + 1, F.greatest(c["start"] + j + slop + 1 - low(j), F.lit(0))), x))
+        return F.size(F.filter(there, lambda x: x)) >= F.size(c["win"]) - c["may_miss"]
+
+    read = found.join(keyed, "k").withColumn("w", words(F.col("text")))
+    hits = read.select("doc_id", F.explode(F.filter("found", holds)).alias("c")).select("doc_id", "c.win").distinct()
+    return hits.join(windows, "win").select("doc_id", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

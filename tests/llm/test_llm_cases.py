@@ -313,6 +313,28 @@ def test_items_without_an_id(spark):
     assert got == {1: (3, 2, [None, "7"]), None: (1, 1, ["7"]), 2: (2, 1, [None])}
 
 
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(9)] + ["rare"]
+    texts = {i: [rng.choice(vocabulary) for _ in range(rng.randrange(1, 14))] for i in range(60)}
+    items = {100 + i: [rng.choice([*vocabulary, "unseen"]) for _ in range(rng.choice([1, 2, 3, 4, 4, 4]))] for i in range(25)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    df = Counter(w for t in texts.values() for w in t)
+    for slop, misses in ((0, 0), (1, 0), (1, 1), (2, 1), (0, 2)):
+        want = set()
+        for d, w in texts.items():
+            for i, t in items.items():
+                for win in {tuple(t[k : k + 4]) for k in range(max(1, len(t) - 3))}:
+                    may = min(misses, max(0, len(win) - 2))
+                    rare = sorted(range(len(win)), key=lambda j: (df[win[j]], win[j], j))[: may + 1]
+                    starts = [q - j for j in rare for q in range(len(w)) if w[q] == win[j]]
+                    if any(sum(x in w[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j, x in enumerate(win)) >= len(win) - may for s in starts):
+                        want.add((d, i))
+        got = {tuple(r) for r in decontaminate.proximity_matches(docs, tests, slop, 4, misses).collect()}
+        assert got == want and want
+
+
 # --- pipeline
 
 
