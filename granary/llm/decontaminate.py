@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.storage import cut, sized
+from granary.llm.storage import cut, sized, tidy
 
 WINDOW = 10
 #: rows of a table that may be broadcast: some 50 bytes each
@@ -129,6 +129,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     places = F.array_distinct(F.flatten(F.transform("exact", lambda c: F.sequence(c["start"], c["start"] + F.size(c["win"]) - 1))))
     judged = read.withColumn("exact", F.coalesce(exact, F.array().cast("array<struct<start:int,win:array<string>>>"))).select("k", "doc_id", F.size("w").cast("long").alias("n_words"), F.sort_array(places).alias("hits"), F.array_distinct(F.col("exact.win")).alias("wins"))
     judged = cut(judged)
+    tidy(docs.sparkSession)
     named = judged.select("k", F.explode("wins").alias("win")).distinct().join(windows, "win").groupBy("k").agg(F.sort_array(F.collect_set(F.struct(F.col("item_id").cast("string").alias("item_id")))).alias("items"))
     out = sized(judged.join(named, "k", "left").withColumn("item_ids", F.col("items.item_id")), judged.count())
     return out.select(

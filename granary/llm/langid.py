@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import tokens as tk
+from granary.llm.storage import in_batches
 
 SLOTS, DIM, SEED = 48, 512, 7
 NGRAMS = SLOTS**3
@@ -98,7 +99,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
             g = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int32)), pa.array(x[g])], ["lang", "ngram", "n"])
 
-    used = docs.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    used = in_batches(docs).select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     return used.mapInArrow(count, "lang string, ngram int, n long").groupBy("lang", "ngram").agg(F.sum("n").alias("n"))
 
 
@@ -117,7 +118,7 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def classify(docs: DataFrame, langs: list[str], vectors: np.ndarray) -> DataFrame:
     """docs with lang_pred and score, the cosine (0 if below)."""
-    docs = docs.select([c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
+    docs = in_batches(docs.select([c for c in docs.columns if c.lower() not in ("lang_pred", "score")]))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = (vectors / np.maximum(norms, 1e-12)).astype(np.float32)

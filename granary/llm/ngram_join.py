@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import tokens as tk
 from granary.llm.components import components
-from granary.llm.storage import cut
+from granary.llm.storage import cut, in_batches, remove, stored, tidy
 
 U64 = np.uint64
 LAST = np.iinfo(np.int64).max
@@ -262,9 +262,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = cut(classes.select("node", F.col("doc").alias("doc_id")).join(nodes, "node", "left_semi"))
-    named = wanted.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        named = F.broadcast(named)
+    named = _few(wanted.select("doc_id").distinct())
     # A doc_id may name several texts: only sets of wanted nodes go on, and once.
     sets = docs.join(named, "doc_id", "left_semi").mapInArrow(whole, "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -272,6 +270,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Join) -
     return common.filter(100 * F.col("common") >= how.percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has BROADCAST_ROWS rows of a few numbers at most; else Spark shuffles it."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def cells(classes: DataFrame, how: Join) -> DataFrame:
     """(node, cell): sets that may link lie in one cell of sizes or in neighbouring ones."""
     if how.percent >= 100:
@@ -290,6 +293,7 @@ def apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, how: Join) ->
     rooted = shared.select("key", "node").join(roots.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted = cut(rooted)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    mixed = _few(cut(mixed))
     held = rooted.join(mixed, "key").join(cells(classes, how), "node")
     visit = F.explode(F.array(F.struct(F.col("cell").alias("at"), F.lit(False).alias("visitor")), F.struct((F.col("cell") + 1).alias("at"), F.lit(True).alias("visitor"))))
     member = cut(held.select("key", "node", "root", visit.alias("v")).select(F.xxhash64("key", "v.at").alias("unit"), "node", "root", "v.visitor"))
@@ -297,8 +301,7 @@ def apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, how: Join) ->
     units = by_root.groupBy("unit").agg(F.max(F.struct("size", "root")).alias("core"), F.sum("size").alias("size"), F.sum("own").alias("own"), F.count("*").alias("roots")).filter("roots > 1 and own > 0")
     tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / how.block)).cast("int")
     units = cut(units.select("unit", F.col("core.root").alias("core"), tiles(F.col("core.size")).alias("core_tiles"), tiles(F.col("size") - F.col("core.size")).alias("tiles")))
-    if units.count() <= BROADCAST_ROWS:
-        units = F.broadcast(units)
+    units = _few(units)
     placed = member.join(units, "unit").withColumn("inner", F.col("root") == F.col("core"))
     # Tiles of a core part and a part of the others, and of two parts of the others. Within a tile members of unlike
     # sides are compared, and those of side 2, a part of the others by itself, among themselves.
@@ -353,22 +356,26 @@ def apart(shared: DataFrame, classes: DataFrame, roots: DataFrame, how: Join) ->
 
 def join_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reached by links, itself included) of every row of docs."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = in_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(index(docs, heavy_hitters(docs, how), how))
     classes = cut(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
-    postings = classes.select("node", "doc", F.explode("keys").alias("key"))
+    # Dealt by key once: what is met and who meets it are read from the same exchange, as long as both want all columns.
+    postings = classes.select("node", "doc", F.explode("keys").alias("key")).repartition("key")
     # The oldest document of a key is likely what others were made from; some more, by parts, bridge what it doesn't reach.
     part = F.when(F.lit(how.pivots > 1), F.pmod("node", F.lit(max(1, how.pivots - 1))) + 1)
     pivots = [F.min(F.when(F.lit(i == 0) | (part == i), F.struct("doc", "node"))).alias(f"p{i}") for i in range(how.pivots)]
     met = postings.groupBy("key").agg(*pivots, F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", F.array_distinct(F.array_compact(F.array(*(F.col(f"p{i}.node") for i in range(how.pivots))))).alias("pivots"))
-    shared = cut(postings.join(met, "key"))
+    shared, path = stored(postings.join(met, "key").select("key", "node", "doc", "pivots"))
     stars = shared.select(F.col("node").alias("a"), F.explode("pivots").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = cut(verified(cut(bounded(stars, classes, how)), classes, docs, how))
     # Pairs with a pivot have been tried; others are left where a key has two more classes.
     rest = shared.filter(~F.array_contains("pivots", F.col("node")))
+    tidy(docs.sparkSession)
     more = cut(apart(rest, classes, cut(components(links)), how))
+    remove(docs.sparkSession, path)
     links = links.union(verified(more, classes, docs, how))
     roots = cut(components(links))
+    tidy(docs.sparkSession)
     least = classes.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
     named = least.join(least.groupBy("root").agg(F.min("doc").alias("component")), "root").select("node", "component")
     # Sets of one class may be a third of all rows; the join's other side has one row a class, so such a part can be split.

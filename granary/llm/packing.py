@@ -17,6 +17,7 @@ stays null; an empty table gives no piece; other columns are not carried.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,9 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import tokens as tk
-from granary.llm.storage import cut, sized
+from granary.llm.storage import cut, in_batches, sized
 
-WINDOW, END_ID, RANKED, CACHE = 4096, 2, 100_000, 1_000_000
+WINDOW, END_ID, RANKED, CACHE, WORDS = 4096, 2, 100_000, 1_000_000, 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -78,6 +79,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -87,7 +89,9 @@ class WordEncoder:
         self.hashes, self.starts, self.counts, self.ids = (np.zeros(0, x) for x in (np.uint64, np.int64, np.int64, np.uint32))
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found: list[list[int]] = []
+        for i in range(0, len(words), WORDS):  # an encoding takes much more room than its ids
+            found += [x.ids for x in self.tokenizer.encode_batch_fast(words[i : i + WORDS], add_special_tokens=False)]
         counts = np.array([len(x) for x in found], np.int64)
         starts = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate([self.ids, np.array([t for x in found for t in x], np.uint32)])
@@ -129,7 +133,7 @@ def tokenize(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
         for batch in batches:
-            for part in tk.pieces(batch, "text", 1 << 21):
+            for part in tk.pieces(batch, "text"):
                 ids, sizes = words.encode(tk.texts_of(part.column(1)))
                 rows, at = [], 0
                 end = np.array([end_id], np.uint32)
@@ -139,7 +143,7 @@ def tokenize(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
                     rows += [(doc, s, min(window, n + 1 - s), zlib.crc32(whole[s : s + window]), n + 1) for s in range(0, n + 1, window)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

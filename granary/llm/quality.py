@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.llm import tokens as tk
+from granary.llm.storage import in_batches
 
 # Very common words of four languages, most common first.
 COMMON = {
@@ -159,7 +160,7 @@ def language_references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         rows = [(lang, i, int(v)) for lang, x in sums.items() for i, v in enumerate(x)]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], ["lang", "bin", "n"])
 
-    used = docs.select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    used = in_batches(docs).select("text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     return used.mapInArrow(add, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
@@ -181,7 +182,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     refs = [(x[: rules.classes - 1] / x[: rules.classes - 1].sum(), x[rules.classes - 1 :] / x[rules.classes - 1 :].sum()) for _, x in sorted(table.items()) if x[: rules.classes - 1].sum() and x[rules.classes - 1 :].sum()]
     new = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("char_distance", T.DoubleType()), ("word_distance", T.DoubleType())]
     names = {n for n, _ in new}
-    docs = docs.select([c for c in docs.columns if c.lower() not in names])
+    docs = in_batches(docs.select([c for c in docs.columns if c.lower() not in names]))
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in new]])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.session import shared_dir
 
-__all__ = ["cut", "remove", "shared_dir", "sized", "volume"]
+__all__ = ["cut", "in_batches", "remove", "shared_dir", "sized", "stored", "tidy", "volume"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -25,6 +27,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(conf).delete(target, True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` written as a table of the shared folder, and where: smaller than a checkpoint, to be removed once used."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows, and bytes of their texts."""
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
@@ -34,3 +44,28 @@ def volume(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 def sized(df: DataFrame, rows: int, text_bytes: int = 0, each_rows: int = 20_000, each_bytes: int = 16 << 20) -> DataFrame:
     """df in so many partitions at most that each has about `each_rows` of its rows or `each_bytes` of its texts."""
     return df.coalesce(max(1, -(-rows // each_rows), -(-text_bytes // each_bytes)))
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """df, after the session's Arrow batches are held to `most` bytes, if they may be larger.
+
+    Batches are held several times over, in the JVM, on the way and in Python, so 64 MB of them cost an executor
+    hundreds. Spark reads the limit when the caller runs the plan, so it can't be set back here; it changes no result.
+    """
+    conf = df.sparkSession.conf
+    now = conf.get(BATCH_BYTES).rstrip("b")
+    if not now.isdigit() or int(now) > most:
+        conf.set(BATCH_BYTES, str(most))
+    return df
+
+
+def tidy(spark: SparkSession) -> None:
+    """Has the driver look for what is no longer used, so that executors drop broadcasts, shuffles and, if Spark is set to, checkpoints.
+
+    Spark does so itself every spark.cleaner.periodicGC.interval, which is 30 minutes; operators of many steps leave
+    more than that between.
+    """
+    spark.sparkContext._jvm.System.gc()

@@ -21,7 +21,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 NEWLINE = np.zeros(256, bool)
 NEWLINE[10] = True
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i below at least n."""
-    size = max(1 << 20, 1 << (max(n, 1) - 1).bit_length())
+    size = max(1 << 19, 1 << (max(n, 1) - 1).bit_length())
     if size not in _powers:
         _powers.clear()
         out = []
