@@ -1,31 +1,36 @@
 """WARC archives: writing, reading and transaction assembly.
 
 Each page is a request, a response (or a revisit of an equal payload) and a metadata record; request and metadata name
-their response by WARC-Concurrent-To. Archives are written by Spark's text sink, whose line separator ends a record,
-and read file by file, record by record, by Content-Length. Assembly joins the three kinds of records through their
-identifiers to one nested row per capture.
+their response by WARC-Concurrent-To. Each record is a gzip member of its own, so archives can be read from any record
+on. Members are written by Spark's text sink and read file by file, record by record, by Content-Length. Assembly joins
+the three kinds of records through their identifiers to one nested row per capture.
 
 Defined results: null html is the empty payload; null url is no target; line breaks in urls are percent-coded; a null
 page_id comes back as null; rows that agree in page_id, url and html are one capture; of equal payloads with one page_id
 the larger capture number is the response; payloads are kept whole, however long; a capture whose request or metadata
 record is missing keeps nulls in their place; an empty table gives an empty archive and result; other columns are not
-carried. Each archive file is one gzip member, since Spark's text sink compresses files, not records.
+carried. A file holds some 64 MB of payloads, or one page that is longer; a record of more than 8 MB is several members.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.storage import cut
+from granary.llm.storage import cut, in_batches
 
 END = "\r\n\r\n"
-RECORDS_IN_FILE, BROADCAST_ROWS = 1500, 100_000
+BROADCAST_ROWS = 100_000
+MEMBER, BATCH = 8 << 20, 8 << 20
+#: (bytes of a payload, pages in a file): payloads below so many bytes go into files of so many pages; longer ones alone
+FILES = ((128 << 10, 512), (2 << 20, 32), (None, 1))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -49,8 +54,24 @@ def _record(kind: Column, capture: Column, own: list[Column], content_type: str,
     return F.concat(F.concat_ws("\r\n", *head), F.lit(END), block)
 
 
+def members(record: bytes) -> bytes:
+    """The record as gzip members, without the last byte.
+
+    That is the highest one of the member's length, so it is 0, which the text sink adds as the end of a line.
+    """
+    parts = [gzip.compress(record[i : i + MEMBER], 6, mtime=0) for i in range(0, len(record), MEMBER)]
+    return b"".join(parts)[:-1]
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([members(x.as_py() + END.encode()) for x in batch.column(0)], pa.binary())], ["value"])
+
+
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> None:
     """pages (page_id, url, html) as gzip-compressed archives under path."""
+    tier = lambda size: sum(((size >= most).cast("int") for most, _ in FILES if most), F.lit(0)).alias("tier")
+    filled = {r["tier"] for r in pages.groupBy(tier(F.coalesce(F.octet_length("html"), F.lit(0)))).count().collect()}
     again = cut(revisits(pages, least_bytes))
     if again.count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
@@ -76,22 +97,27 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, date: s
         answer,
         _record(F.lit("metadata"), capture, [target, concurrent], "application/warc-fields", notes, "metadata", date),
     )
-    p.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_IN_FILE).text(path)
+    dealt = in_batches(p.select("*", tier(F.col("bytes"))))
+    for i, (_, in_file) in enumerate(FILES):
+        if i and i not in filled:
+            continue
+        each = dealt.filter(F.col("tier") == i).select(F.explode(records).alias("record")).select(F.col("record").cast("binary"))
+        out = each.mapInArrow(_compressed, "value binary").select(F.col("value").cast("string").alias("value"))
+        out.write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", in_file * 3).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_records(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = end + 4
-        stop = start + int(headers["content-length"])
-        yield headers, data[start:stop]
-        at = stop + 4
+    while first := archive.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {first[:80]!r}")
+        headers = {}
+        while (line := archive.readline().decode("utf-8", "replace")).strip("\r\n"):
+            name, _, value = line.partition(":")
+            headers[name.strip().lower()] = value.strip()
+        block = archive.read(int(headers["content-length"]))
+        archive.read(4)
+        yield headers, block
 
 
 FIELDS = ("type", "id", "concurrent_to", "refers_to", "uri", "date", "digest", "payload_bytes", "payload", "block")
@@ -103,10 +129,13 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 7 + [pa.int64(), pa.binary(), pa.binary()]
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], list(FIELDS))
+
         for batch in batches:
             for content in batch.column(batch.schema.get_field_index("content")):
-                rows = []
-                for h, block in parse_records(gzip.decompress(content.as_py())):
+                rows, held = [], 0
+                for h, block in parse_records(gzip.open(io.BytesIO(content.as_py()))):
                     kind, payload, digest, size = h["warc-type"], None, None, None
                     if kind in ("response", "revisit"):
                         http, _, payload = block.partition(b"\r\n\r\n")
@@ -116,8 +145,12 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                         block = None
                         payload = payload if with_payload and kind == "response" else None
                     rows.append((kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), digest, size, payload, block))
+                    held += len(payload or b"") + len(block or b"")
+                    if held > BATCH:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], list(FIELDS))
+                    yield batch_of(rows)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, SCHEMA)
 

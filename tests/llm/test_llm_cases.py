@@ -1,5 +1,6 @@
 """Odd rows, very many matches, and plain models of the parts that SQL does not express."""
 
+import hashlib
 import math
 import random
 import re
@@ -303,6 +304,30 @@ def test_transactions_are_joined(spark, tmp_path):
     assert got == {1: (None, "http://a"), 2: (None, "http://b")}
 
 
+def test_each_record_is_a_member(spark, tmp_path):
+    """Every file is a run of gzip members that each begin a record, save for what continues a very long one; long pages stand alone."""
+    short, middle, long = "s" * 1500, "m" * 200_000, "lé\n" * 6_000_000
+    pages = spark.createDataFrame([(i, f"http://{i}", f"{i}{short}") for i in range(600)] + [(600, "http://m", middle), (601, "http://l", long)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"{tmp_path}/w")
+    records, files = 0, 0
+    for file in tmp_path.glob("w/part-*"):
+        data, begun, sizes = file.read_bytes(), 0, []
+        while data:
+            member = zlib.decompressobj(31)
+            text = member.decompress(data)
+            assert member.eof
+            begun += text.startswith(b"WARC/1.1\r\n")
+            sizes.append(len(text))
+            data = member.unused_data
+        assert begun == len(sizes) or max(sizes) == warc.MEMBER
+        assert begun <= 3 * 512 and (max(sizes) < 2 << 20 or begun == 3)
+        records, files = records + begun, files + 1
+    assert records == 3 * 602 and files == 4
+    got = {r.page_id: r for r in warc.captures(warc.read_records(spark, f"{tmp_path}/w", with_payload=False)).collect()}
+    assert len(got) == 602 and got[601].payload_bytes == 24_000_000
+    assert got[601].payload_digest == hashlib.sha1(long.encode()).hexdigest() and got[600].payload_digest == hashlib.sha1(middle.encode()).hexdigest()
+
+
 # --- decontamination
 
 
