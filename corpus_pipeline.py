@@ -63,7 +63,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     # Roots are smallest keys; a text of a doc_id with several may come before one.
     texts = keyed.filter("_several is not null").select("_key", F.col("_several").alias("_id")).distinct()
     least = linked.join(texts, "_key").groupBy("_root").agg(F.min(F.struct("_id", "_key")).alias("_least"))
-    moved = least.filter("_least._id < _root").select("_root", F.col("_least._key").alias("_first"))
+    moved = cut(least.filter("_least._id < _root").select("_root", F.col("_least._key").alias("_first")))
+    if moved.count() <= decontaminate.BROADCAST_ROWS:  # else a large group would be dealt by its root
+        moved = F.broadcast(moved)
     later = linked.join(moved, "_root", "left").filter(F.col("_key") != F.coalesce("_first", "_root")).select("_key").distinct()
     rest = keyed.join(later, "_key", "left_anti")
     exact = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
