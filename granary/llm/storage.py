@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import shared_dir
+from granary.session import in_batches, shared_dir
 
 __all__ = ["cut", "in_batches", "remove", "shared_dir", "sized", "stored", "tidy", "volume"]
 
@@ -46,22 +46,6 @@ def sized(df: DataFrame, rows: int, text_bytes: int = 0, each_rows: int = 20_000
     return df.coalesce(max(1, -(-rows // each_rows), -(-text_bytes // each_bytes)))
 
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def in_batches(df: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """df, after the session's Arrow batches are held to `most` bytes, if they may be larger.
-
-    Batches are held several times over, in the JVM, on the way and in Python, so 64 MB of them cost an executor
-    hundreds. Spark reads the limit when the caller runs the plan, so it can't be set back here; it changes no result.
-    """
-    conf = df.sparkSession.conf
-    now = conf.get(BATCH_BYTES).rstrip("b")
-    if not now.isdigit() or int(now) > most:
-        conf.set(BATCH_BYTES, str(most))
-    return df
-
-
 def tidy(spark: SparkSession) -> None:
     """Has the driver look for what is no longer used, so that executors drop broadcasts, shuffles and, if Spark is set to, checkpoints.
 

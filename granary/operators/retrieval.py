@@ -11,10 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions.stem import stemmed
+from granary.functions.stem import english_stem, stemmed
 from granary.functions.text import search_terms, terms
+from granary.session import in_batches
 
 CANDIDATES, RRF_K = 15, 60
+#: Numbers that a table of counts or scores in a task holds at once; terms and questions that one pass over chunks takes.
+CELLS, TILE_TERMS, TILE_QUESTIONS = 1 << 20, 1 << 20, 1 << 14
 
 
 def latest(documents: DataFrame, source: str, at: str, key: str) -> DataFrame:
@@ -30,6 +33,17 @@ def newest_only(chunks: DataFrame, documents: DataFrame, document: str, source:
     return chunks.join(newest.select(document), document, "left_semi")
 
 
+def parted(chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """chunks whose key no other row has, and the others: None if there are none, as is usual."""
+    again = chunks.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again"))
+    n = again.count()
+    if not n:
+        return chunks, None
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    again = F.broadcast(again) if n <= 1 << 20 else again
+    return chunks.join(again, same, "left_anti"), chunks.join(again, same, "left_semi")
+
+
 def postings(chunks: DataFrame, key: str, text: str | Column, only: DataFrame | None = None) -> DataFrame:
     """(key, term, tf) of each chunk's terms, of those in `only` (term) if given."""
     exploded = chunks.select(key, F.explode(terms(F.col(text) if isinstance(text, str) else text)).alias("term"))
@@ -38,6 +52,11 @@ def postings(chunks: DataFrame, key: str, text: str | Column, only: DataFrame |
     return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def _places(lists: pa.ListArray) -> np.ndarray:
+    """For each item of lists, the number of its list."""
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+
 def positions(chunks: DataFrame, key: str, text: str, section_path: str | None = None) -> DataFrame:
     """(key, stem, positions) of section path and text: English stems without stop words, places counted over all words."""
     whole = F.concat_ws(" ", F.coalesce(section_path, F.lit("")), text) if section_path else F.col(text)
@@ -52,13 +71,17 @@ def stemmed_postings(index: DataFrame, key: str) -> DataFrame:
     return index.join(stems, "term").groupBy(key, F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
-BUCKETS = 64
+BUCKETS, BUCKET_TASKS = 64, 4
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Postings (key, term, tf) stored by a hash of the term, in order of terms: a search reads the buckets it needs."""
+    """Postings (key, term, tf) stored by a hash of the term, in order of terms: a search reads the buckets it needs.
+
+    A bucket is written by some tasks, each with a part of the chunks, so no task sorts all of a frequent term.
+    """
     placed = index.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-    placed.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    share = F.pmod(F.xxhash64(*(c for c in index.columns if c not in ("term", "tf"))), F.lit(BUCKET_TASKS))
+    placed.repartition("bucket", share).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -96,19 +119,122 @@ def top(scored: DataFrame, query: str, key: str, k: int, best: str = "score") ->
 def keyword_search(questions: DataFrame, query: str, question: str, chunks: DataFrame, key: str, text: str, k: int = CANDIDATES, section_path: str | None = None, english: bool = False) -> DataFrame:
     """(query, key, score, rank): any search term matches, each match scores 0.1.
 
-    With section_path its words are searched too; with english both sides are stemmed and stop words left out.
+    With section_path its words are searched too; with english both sides are stemmed and stop words left out. questions
+    is the stated query set: its terms go to the tasks, in tiles, and each task counts them in its chunks and keeps the
+    k best for each question, so neither postings nor matches are dealt out. Rows that share a key are searched by
+    their postings.
     """
-    asked = asked_terms(questions, query, question, english)
+    asked = asked_terms(questions, query, question, english).select(F.col(query).alias("q"), "term")
     whole = F.concat_ws(" ", section_path, text) if section_path else F.col(text)
-    index = postings(chunks, key, whole, None if english else asked.select("term").distinct())
-    return search_index(asked, query, stemmed_postings(index, key) if english else index, key, k)
+    kinds = asked.schema["q"].dataType.simpleString(), chunks.schema[key].dataType.simpleString()
+    alone, others = parted(chunks, key)
+    rows = in_batches(alone).select(F.col(key).alias("c"), terms(whole).alias("words"))
+    n_terms, n_questions = asked.agg(F.count("*"), F.count_distinct("q")).first()
+    parts = max(1, -(-n_terms // TILE_TERMS), -(-n_questions // TILE_QUESTIONS))
+    out = []
+    for i in range(parts):
+        tile = (asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == i)).toArrow().sort_by("q")
+        found = rows.mapInArrow(matched_by(tile, k, english), f"{query} {kinds[0]}, {key} {kinds[1]}, n double")
+        out.append(found.select(query, key, (F.col("n") * 0.1).alias("score")))
+    if others is not None:
+        index = postings(others, key, whole)
+        out.append(search_index(asked.withColumnRenamed("q", query), query, stemmed_postings(index, key) if english else index, key, k).select(query, key, "score"))
+    return top(reduce(DataFrame.union, out), query, key, k)
+
+
+class Asked:
+    """Rows (q, term) sorted by q as lists of places in a vocabulary."""
+
+    def __init__(self, pairs: pa.Table) -> None:
+        coded = pairs.column("term").combine_chunks().dictionary_encode()
+        runs = pairs.column("q").combine_chunks().dictionary_encode(null_encoding="encode")
+        self.vocabulary, self.q = coded.dictionary, runs.dictionary
+        self.at = coded.indices.to_numpy()
+        self.starts = np.flatnonzero(np.diff(runs.indices.to_numpy(), prepend=-1))
+
+    def tables(self, lists: pa.ListArray, english: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """Of some lists of words at a time the first one's number, and how often each has each term (terms by lists)."""
+        words = lists.flatten()
+        if english:
+            words = words.dictionary_encode()
+            stems = pc.index_in(pa.array([english_stem(w) for w in words.dictionary.to_pylist()], pa.string()), value_set=self.vocabulary)
+            term = stems.take(words.indices)
+        else:
+            term = pc.index_in(words, value_set=self.vocabulary)
+        known = term.is_valid().to_numpy(zero_copy_only=False)
+        row, term = _places(lists)[known], term.drop_null().to_numpy()
+        width = max(1, CELLS // (len(self.vocabulary) + len(self.at) + 1))
+        for first in range(0, len(lists), width):
+            n = min(width, len(lists) - first)
+            a, b = np.searchsorted(row, (first, first + n))
+            cells = term[a:b].astype(np.int64) * n + row[a:b] - first
+            yield first, np.bincount(cells, minlength=len(self.vocabulary) * n).reshape(-1, n)
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """Questions by lists: the sum of a table over each question's terms."""
+        return np.add.reduceat(table[self.at], self.starts, axis=0)
+
+
+class Best:
+    """The k best of many (question, key, value), ties by key; a few times k rows of each question are held."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k, self.held, self.rows, self.most = k, [], 0, max(CELLS // 8, 4 * questions * k)
+        self.floor = np.full(questions, -np.inf)
+
+    def add(self, value: np.ndarray, keys: pa.Array) -> None:
+        """value: questions by keys, NaN for what is no match."""
+        q, c = np.nonzero(value >= self.floor[:, None])
+        if len(q):
+            self.held.append(pa.table([pa.array(q), keys.take(pa.array(c)), pa.array(value[q, c])], ["q", "c", "v"]))
+            self.rows += len(q)
+            if self.rows > self.most:
+                self.cut()
+
+    def cut(self) -> pa.Table:
+        """Rows (q: its number, c, v) of the k best of each question."""
+        rows = pa.concat_tables(self.held).combine_chunks()
+        order = pc.sort_indices(rows, sort_keys=[("q", "ascending"), ("v", "descending"), ("c", "ascending")], null_placement="at_start")
+        rows = rows.take(order)
+        q = rows.column("q").to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        rows = rows.filter(pa.array(place < self.k))
+        last = place == self.k - 1
+        self.floor[q[last]] = rows.column("v").to_numpy()[last[place < self.k]]
+        self.held, self.rows = [rows], rows.num_rows
+        return rows
+
+    def result(self, q: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Those rows with the questions' names, the value -inf as null."""
+        if self.held:
+            rows = self.cut()
+            v = rows.column("v").to_numpy()
+            names = q.take(rows.column("q").combine_chunks())
+            yield from pa.table([names, rows.column("c"), pa.array(v, mask=np.isneginf(v))], ["q", "c", "v"]).to_batches(1 << 16)
+
+
+def matched_by(tile: pa.Table, k: int, english: bool = False):
+    """For mapInArrow over (c, words): (q, c, n) of a task's k best chunks for each question of tile (q, term), ties by c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tile.num_rows:
+            return
+        asked = Asked(tile)
+        best = Best(len(asked.q), k)
+        for batch in batches:
+            for first, table in asked.tables(batch.column(1), english):
+                n = asked.sums(table).astype(float)
+                best.add(np.where(n > 0, n, np.nan), batch.column(0).slice(first, n.shape[1]))
+        yield from best.result(asked.q)
+
+    return run
 
 
 def vector_search(questions: DataFrame, query: str, chunks: DataFrame, key: str, vector: str = "embedding", k: int = CANDIDATES) -> DataFrame:
     """(query, key, score, rank) by cosine. questions (query, vector) is the stated query set, scored against all chunks.
 
-    The questions' matrix goes to the tasks, in tiles of TILE_BYTES at most, and each Arrow batch of chunks is one
-    matrix product that keeps its k best for each question. Vectors of zeros or of another length score null, last.
+    The questions' matrix goes to the tasks, in tiles of TILE_BYTES at most, and each task keeps its k best for each
+    question of what matrix products give. Vectors of zeros or of another length score null, last.
     """
     asked = questions.select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     known = chunks.select(F.col(key).alias("c"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
@@ -139,26 +265,26 @@ def matrix(vectors: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray,
 
 
 def scored_by(tile: pa.Table, k: int):
-    """For mapInArrow: (q, c, score) of the k best chunks of each batch for each question of tile (q, v), ties by c."""
+    """For mapInArrow: (q, c, score) of a task's k best chunks for each question of tile (q, v), ties by c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         widths = sorted(set(pc.list_value_length(tile.column("v").combine_chunks()).to_pylist()))
         sides = []
         for width in widths:
             part = tile.filter(pc.equal(pc.list_value_length(tile.column("v").combine_chunks()), width))
-            sides.append((part.column("q").combine_chunks(), *matrix(part.column("v"), width), width))
+            q = part.column("q").combine_chunks()
+            sides.append((q, *matrix(part.column("v"), width), width, Best(len(q), k)))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = batch.take(pc.sort_indices(batch.column(0)))  # so equal scores are in order of c
-            for q, asked, fine, width in sides:
-                known, good = matrix(batch.column(1), width)
-                score = np.round(asked @ known.T, 12)
-                score[~fine], score[:, ~good] = -np.inf, -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                row, value = np.repeat(np.arange(len(q)), best.shape[1]), np.take_along_axis(score, best, 1).ravel()
-                columns = [q.take(pa.array(row)), batch.column(0).take(pa.array(best.ravel())), pa.array(value, mask=np.isneginf(value))]
-                yield pa.RecordBatch.from_arrays(columns, ["q", "c", "score"])
+            for q, asked, fine, width, best in sides:
+                step = max(1, CELLS // len(q))
+                for first in range(0, batch.num_rows, step):
+                    part = batch.slice(first, step)
+                    known, good = matrix(part.column(1), width)
+                    score = np.round(asked @ known.T, 12)
+                    score[~fine], score[:, ~good] = -np.inf, -np.inf
+                    best.add(score, part.column(0))
+        for q, *_, best in sides:
+            yield from best.result(q)
 
     return run
 
