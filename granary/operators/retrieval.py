@@ -230,6 +230,36 @@ def matched_by(tile: pa.Table, k: int, english: bool = False):
     return run
 
 
+def containing(items: DataFrame, item: str, asked: str, documents: DataFrame, key: str, text: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(item, key, *carry) where a document's text contains an item's, letter by letter; items is the stated query set.
+
+    A text that contains an item's has its inner terms (all but the first and the last), so one pass looks at those
+    documents that have all of them. Items without inner terms are held against every document.
+    """
+    inner = F.array_distinct(F.slice(terms(F.col(asked)), 2, F.greatest(F.size(terms(F.col(asked))) - 2, F.lit(0))))
+    told = items.filter(F.col(asked).isNotNull()).select(F.col(item).alias("q"), F.col(asked).cast("binary").alias("asked"), inner.alias("inner")).toArrow()
+    rows = in_batches(documents).filter(F.col(text).isNotNull()).select(F.col(key).alias("c"), terms(F.col(text)).alias("words"), F.col(text).cast("binary").alias("text"), *carry)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, said = told.column("q").combine_chunks(), told.column("asked").to_pylist()
+        lists = told.column("inner").combine_chunks()
+        pairs = pa.table([pa.array(_places(lists)), lists.flatten()], ["q", "term"])
+        short = np.flatnonzero(pc.list_value_length(lists).to_numpy() == 0)
+        index = Asked(pairs) if pairs.num_rows else None
+        wanted = np.diff([*index.starts, len(index.at)])[:, None] if index else None
+        for batch in batches:
+            tried = [(q, d) for q in short for d in range(batch.num_rows)]
+            for first, table in index.tables(batch.column(1)) if index else ():
+                q, d = np.nonzero(index.sums((table > 0).astype(np.int32)) == wanted)
+                tried += zip(index.q.to_numpy()[q], d + first)
+            found = [(q, d) for q, d in tried if said[q] in batch.column(2)[int(d)].as_py()]
+            q, d = (pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([names.take(q), *(batch.column(i).take(d) for i in (0, *range(3, batch.num_columns)))], [item, key, *carry])
+
+    kinds = [items.schema[item].dataType, documents.schema[key].dataType, *(documents.schema[c].dataType for c in carry)]
+    return rows.mapInArrow(run, ", ".join(f"{c} {t.simpleString()}" for c, t in zip((item, key, *carry), kinds)))
+
+
 def vector_search(questions: DataFrame, query: str, chunks: DataFrame, key: str, vector: str = "embedding", k: int = CANDIDATES) -> DataFrame:
     """(query, key, score, rank) by cosine. questions (query, vector) is the stated query set, scored against all chunks.
 

@@ -54,3 +54,22 @@ def test_best_of_many_batches(monkeypatch):
         scored = sorted((-sum(w.count(t) for t in terms), i) for i, w in enumerate(words))
         want += [(q, i, float(-n)) for n, i in scored[:7]]
     assert got == want
+
+
+def test_containing_looks_at_every_document_once(spark):
+    texts = [(1, "s", "so One two, three four."), (2, "s", "one two, three Four"), (3, "t", "three two One"), (4, "t", None), (5, None, "xOne two, three fourx and One two, three four"), (5, "u", "two One two, three four"), (6, "u", "")]
+    items = [(1, "One two, three four"), (2, "two"), (3, "ne tw"), (4, ""), (5, None), (6, "two absent four"), (7, "One two, three four"), (8, "--")]
+    docs = spark.createDataFrame(texts, "d int, source string, text string")
+    asked = spark.createDataFrame(items, "i int, asked string")
+    found = retrieval.containing(asked, "i", "asked", docs, "d", "text", ("source",))
+    want = [(i, d, s or "") for i, a in items for d, s, t in texts if a is not None and t is not None and a in t]
+    assert sorted((r.i, r.d, r.source or "") for r in found.collect()) == sorted(want)
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+
+
+def test_each_retriever_runs_once_in_an_evaluation(spark):
+    from granary.plans import catalogue
+
+    rows = catalogue.eval_summary(spark, "/root/testdata/sf0.001")
+    rows.collect()
+    assert plan(rows).split("== Initial Plan ==")[0].count("MapInArrow ") == 3  # words, vectors, contained items
