@@ -73,3 +73,24 @@ def test_each_retriever_runs_once_in_an_evaluation(spark):
     rows = catalogue.eval_summary(spark, "/root/testdata/sf0.001")
     rows.collect()
     assert plan(rows).split("== Initial Plan ==")[0].count("MapInArrow ") == 3  # words, vectors, contained items
+
+
+@pytest.mark.parametrize("name", ["rule_faults"])
+def test_texts_go_to_python_in_small_batches(spark, name):
+    from granary.plans import catalogue
+
+    at = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(at, "64m")
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(at) == str(1 << 20)
+
+
+def test_rows_of_few_pages_come_back_together(monkeypatch):
+    import pandas as pd
+
+    from granary.sources import html
+
+    monkeypatch.setattr(html, "FRAME_CHARS", 10)
+    batch = pd.DataFrame({"k": range(7), "h": ["xxxx"] * 6 + [None]})
+    frames = list(html._frames(iter([batch, batch[:0]]), lambda k, h: [(k, 0)], ["k", "element_index"]))
+    assert [list(f["k"]) for f in frames] == [[0, 1, 2], [3, 4, 5], [6]]
