@@ -94,3 +94,10 @@ def test_rows_of_few_pages_come_back_together(monkeypatch):
     batch = pd.DataFrame({"k": range(7), "h": ["xxxx"] * 6 + [None]})
     frames = list(html._frames(iter([batch, batch[:0]]), lambda k, h: [(k, 0)], ["k", "element_index"]))
     assert [list(f["k"]) for f in frames] == [[0, 1, 2], [3, 4, 5], [6]]
+
+
+@pytest.mark.parametrize("name", ["eval_rows"])
+def test_no_query_explodes_documents(spark, name):
+    from granary.plans import catalogue
+
+    assert "explode(regexp_extract_all" not in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")) and not [k for k in catalogue._stored if k[1] == "postings"]
