@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.session import in_batches
+
 DIMENSIONS = 1536
 
 
@@ -62,7 +64,7 @@ def embed(df: DataFrame, text: str, provider: Provider | None, purpose: str = "d
             if len(got) != len(part) or any(v is None or len(v) != provider.dimensions for v in got):
                 raise EmbeddingError(f"{provider.name} gave an unexpected dimension; expected {provider.dimensions}")
             for j, v in zip(part, got):
-                out.iloc[j] = v
+                out.iloc[j] = np.asarray(v, "float32")
         return out
 
-    return df.withColumn("embedding", F.pandas_udf(vectors, "array<float>")(F.col(text).cast("string")))
+    return in_batches(df).withColumn("embedding", F.pandas_udf(vectors, "array<float>")(F.col(text).cast("string")))
