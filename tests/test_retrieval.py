@@ -75,7 +75,7 @@ def test_each_retriever_runs_once_in_an_evaluation(spark):
     assert plan(rows).split("== Initial Plan ==")[0].count("MapInArrow ") == 3  # words, vectors, contained items
 
 
-@pytest.mark.parametrize("name", ["rule_faults", "section_audit", "html_elements", "hashed_embeddings"])
+@pytest.mark.parametrize("name", ["rule_faults", "section_audit", "html_elements", "hashed_embeddings", "rule_audit"])
 def test_texts_go_to_python_in_small_batches(spark, name):
     from granary.plans import catalogue
 
