@@ -45,11 +45,18 @@ def parted(chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
 
 
 def postings(chunks: DataFrame, key: str, text: str | Column, only: DataFrame | None = None) -> DataFrame:
-    """(key, term, tf) of each chunk's terms, of those in `only` (term) if given."""
-    exploded = chunks.select(key, F.explode(terms(F.col(text) if isinstance(text, str) else text)).alias("term"))
-    if only is not None:
-        exploded = exploded.join(only, "term", "left_semi")
-    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf) of each chunk's terms, of those in `only` (term) if given.
+
+    Rows are counted one by one; only those that share a key are aggregated.
+    """
+    words = terms(F.col(text) if isinstance(text, str) else text)
+    alone, others = parted(chunks, key)
+    kind = chunks.schema[key].dataType.simpleString()
+    out = in_batches(alone).select(F.col(key).alias("c"), words.alias("words")).mapInArrow(_counted, f"c {kind}, term string, tf bigint")
+    out = out.withColumnRenamed("c", key)
+    if others is not None:
+        out = out.union(others.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    return out if only is None else out.join(only, "term", "left_semi").select(key, "term", "tf")
 
 
 def _places(lists: pa.ListArray) -> np.ndarray:
@@ -57,6 +64,16 @@ def _places(lists: pa.ListArray) -> np.ndarray:
     return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (c, term, tf) of rows (c, words)."""
+    for batch in batches:
+        words = batch.column(1).flatten().dictionary_encode()
+        size = max(1, len(words.dictionary))
+        pairs, tf = np.unique(_places(batch.column(1)) * size + words.indices.to_numpy(), return_counts=True)
+        columns = [batch.column(0).take(pa.array(pairs // size)), words.dictionary.take(pa.array(pairs % size)), pa.array(tf, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["c", "term", "tf"])
+
+
 def positions(chunks: DataFrame, key: str, text: str, section_path: str | None = None) -> DataFrame:
     """(key, stem, positions) of section path and text: English stems without stop words, places counted over all words."""
     whole = F.concat_ws(" ", F.coalesce(section_path, F.lit("")), text) if section_path else F.col(text)

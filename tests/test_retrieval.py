@@ -112,3 +112,11 @@ def test_no_query_explodes_documents(spark, name):
     from granary.plans import catalogue
 
     assert "explode(regexp_extract_all" not in plan(catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")) and not [k for k in catalogue._stored if k[1] == "postings"]
+
+
+def test_postings_are_counted_by_row(spark):
+    chunks = spark.createDataFrame(TEXTS, "d int, content string")
+    assert "Aggregate" not in plan(retrieval.postings(chunks, "d", "content"))
+    more = spark.createDataFrame([*TEXTS, (3, "w3 common"), (None, "w1"), (None, "w1 w2")], "d int, content string")
+    got = {(r.d, r.term): r.tf for r in retrieval.postings(more, "d", "content").collect()}
+    assert got == {(d, t): n for d, c in counts([*TEXTS, (3, "w3 common"), (None, "w1"), (None, "w1 w2")]).items() for t, n in c.items()}
